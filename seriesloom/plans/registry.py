@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seriesloom.plans import data_quality
+from seriesloom.plans import data_quality, series_queries
 
-MODULES = (data_quality,)
+MODULES = (data_quality, series_queries)
 
 
 def queries() -> dict:

@@ -14,7 +14,7 @@ def frame(df: pd.DataFrame):
     for r in df.itertuples(index=False):
         row = []
         for x in r:
-            if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+            if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
                 row.append("null")
             elif isinstance(x, (bool,)):
                 row.append(str(x))
