@@ -86,11 +86,11 @@ def a10_cost_scan(spark, d):
 _KINDS = ["view", "purchase", "click", "error", "signup"]
 
 
-@query("select date_trunc('day', ts)::date as day, " + ", ".join(f"round(sum(value) filter (event_type = '{k}'), 8) as {k}" for k in _KINDS) + " from events group by all having count(value) > 0")
+@query("select date_trunc('day', ts)::date as day, " + ", ".join(f"round(sum(value) filter (event_type = '{k}'), 10) as {k}" for k in _KINDS) + " from events group by all having count(value) > 0")
 def a12_panel(spark, d):
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     p = e.groupBy("day").pivot("event_type", _KINDS).agg(F.sum("value"))
-    return p.dropna("all", subset=_KINDS).select("day", *[F.round(k, 8).alias(k) for k in _KINDS])
+    return p.dropna("all", subset=_KINDS).select("day", *[F.round(k, 10).alias(k) for k in _KINDS])
 
 
 @query("from (select date_trunc('hour', ts) as hour, " + ", ".join(f"round(avg(value) filter (event_type = '{k}'), 6) as {k}" for k in _KINDS[:3]) + " from events group by all) where view is not null and purchase is not null and click is not null")
@@ -117,10 +117,10 @@ def b02_zscore(spark, d):
 
 
 @query(S + f""", r as (select *, x - avg(x) over p - coalesce(covar_pop(x, pos) over p / nullif(var_pop(pos) over p, 0), 0) * (pos - avg(pos) over p) as r from s window p as ({P}))
-select key, vintage, pos, round((r - avg(r) over p) / (stddev_pop(r) over p + 1e-12), 8) + 0.0 as z from r where (select count(*) from s t where t.key = r.key and t.vintage = r.vintage) > 2 window p as ({P})""")
+select key, vintage, pos, round((r - avg(r) over p) / (stddev_pop(r) over p + 1e-12), 10) + 0.0 as z from r where (select count(*) from s t where t.key = r.key and t.vintage = r.vintage) > 2 window p as ({P})""")
 def b03_cyclical(spark, d):
     s = ser(spark, d).withColumn("n", F.count("*").over(sr.whole())).filter("n > 2").withColumn("r", sr.detrended())
-    return s.select(*BY, "pos", rnd(sr.zscore("r", eps=1e-12), 8).alias("z"))
+    return s.select(*BY, "pos", rnd(sr.zscore("r", eps=1e-12), 10).alias("z"))
 
 
 @query(S + f""", m as (select *, median(x) over p as med from s window p as ({P})), n as (select *, median(abs(x - med)) over p as mad from m window p as ({P}))
@@ -299,13 +299,13 @@ def j02_align_quarterly(spark, d):
 
 
 @query(_PAIR + """, u as (select pair, date_trunc('quarter', date)::date as q, avg(x) as x from a group by all), g as (select pair, date_trunc('quarter', date)::date as q, max_by(x, pos) as x from b group by all)
-select pair, q as quarter, round(u.x - lag(u.x) over w, 8) + 0.0 as du, round(100 * (ln(g.x) - ln(lag(g.x, 4) over w)), 8) + 0.0 as growth from u join (select pair, q, case when x > 0 then x end as x from g) g using (pair, q) window w as (partition by pair order by q)""")
+select pair, q as quarter, round(u.x - lag(u.x) over w, 10) + 0.0 as du, round(100 * (ln(g.x) - ln(lag(g.x, 4) over w)), 10) + 0.0 as growth from u join (select pair, q, case when x > 0 then x end as x from g) g using (pair, q) window w as (partition by pair order by q)""")
 def j03_aggregate_then_join(spark, d):
     a, b = _pair(spark, d)
     u = a.groupBy("pair", F.trunc("date", "quarter").alias("quarter")).agg(F.avg("x").alias("u"))
     g = b.groupBy("pair", F.trunc("date", "quarter").alias("quarter")).agg(F.max_by("x", "pos").alias("g")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
     w = Window.partitionBy("pair").orderBy("quarter")
-    return u.join(g, ["pair", "quarter"]).select("pair", "quarter", rnd(F.col("u") - F.lag("u").over(w), 8).alias("du"), rnd(100 * (F.ln("g") - F.ln(F.lag("g", 4).over(w))), 8).alias("growth"))
+    return u.join(g, ["pair", "quarter"]).select("pair", "quarter", rnd(F.col("u") - F.lag("u").over(w), 10).alias("du"), rnd(100 * (F.ln("g") - F.ln(F.lag("g", 4).over(w))), 10).alias("growth"))
 
 
 @query(_PAIR + """, l as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all), r as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from b group by all)
@@ -341,16 +341,16 @@ def j13_nearest_date(spark, d):
 
 
 @query(S + f""", f as (select key, vintage, date_trunc('month', min(date)) as start, max(date) as stop from s group by all), g as (select key, vintage, unnest(generate_series(start, stop::timestamp, interval 6 month))::date as grid from f)
-select key, vintage, grid, count(*) as n, round(avg(x), 8) as mean, round(stddev_pop(x), 8) as sd from g join s using (key, vintage) where date >= (grid - interval 24 month) and date <= grid group by all having count(*) >= 12""")
+select key, vintage, grid, count(*) as n, round(avg(x), 10) as mean, round(stddev_pop(x), 10) as sd from g join s using (key, vintage) where date >= (grid - interval 24 month) and date <= grid group by all having count(*) >= 12""")
 def j14_trailing_windows(spark, d):
     t = sr.trailing_windows(ser(spark, d), 6, 24, 12)
-    return t.select(*BY, "grid", "n", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"))
+    return t.select(*BY, "grid", "n", F.round("mean", 10).alias("mean"), F.round("sd", 10).alias("sd"))
 
 
-@query(S + f", q as (select key, vintage, date_trunc('quarter', date)::date as quarter, avg(x) as x from s group by all) select key, vintage, quarter, round(x - lag(x) over (partition by key, vintage order by quarter), 8) + 0.0 as dx from q")
+@query(S + f", q as (select key, vintage, date_trunc('quarter', date)::date as quarter, avg(x) as x from s group by all) select key, vintage, quarter, round(x - lag(x) over (partition by key, vintage order by quarter), 10) + 0.0 as dx from q")
 def j15_previous_quarter(spark, d):
     q = sr.quarterly_mean(ser(spark, d))
-    return q.select(*BY, "quarter", rnd(F.col("x") - F.lag("x").over(sr.over("quarter")), 8).alias("dx"))
+    return q.select(*BY, "quarter", rnd(F.col("x") - F.lag("x").over(sr.over("quarter")), 10).alias("dx"))
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------
@@ -361,15 +361,15 @@ m as (select key, vintage, last_day(date) as month, avg(x) as mean, max_by(x, po
 p as (select key, vintage, case when n < 2 then date else month end as month, case when n >= 2 and gap < 27 then mean else last end as x from m join g using (key, vintage) where n < 2 or gap <= 34),
 q as (select key, vintage, month, last, lead(month) over z as nm, lead(last) over z as nx from m join g using (key, vintage) where n >= 2 and gap > 34 window z as (partition by key, vintage order by month)),
 r as (select *, unnest(range(case when nm is null then 1 else datediff('month', month, nm) end)) as k from q)
-select key, vintage, month, round(x, 8) + 0.0 as x from p union all
-select key, vintage, last_day((date_trunc('month', month) + to_months(k::int))::date), round(case when k = 0 then last else last + (nx - last) * (last_day((date_trunc('month', month) + to_months(k::int))::date) - month) / (nm - month) end, 8) + 0.0 from r""")
+select key, vintage, month, round(x, 10) + 0.0 as x from p union all
+select key, vintage, last_day((date_trunc('month', month) + to_months(k::int))::date), round(case when k = 0 then last else last + (nx - last) * (last_day((date_trunc('month', month) + to_months(k::int))::date) - month) / (nm - month) end, 10) + 0.0 from r""")
 def e01_monthly(spark, d):
-    return sr.monthly(ser(spark, d)).select(*BY, "month", rnd(F.col("x"), 8).alias("x"))
+    return sr.monthly(ser(spark, d)).select(*BY, "month", rnd(F.col("x"), 10).alias("x"))
 
 
-@query(S + " select key, vintage, date_trunc('quarter', date)::date as quarter, round(avg(x), 8) as x from s group by all")
+@query(S + " select key, vintage, date_trunc('quarter', date)::date as quarter, round(avg(x), 10) as x from s group by all")
 def e02_quarterly_mean(spark, d):
-    return sr.quarterly_mean(ser(spark, d)).select(*BY, "quarter", F.round("x", 8).alias("x"))
+    return sr.quarterly_mean(ser(spark, d)).select(*BY, "quarter", F.round("x", 10).alias("x"))
 
 
 @query("select key, idx, n_points from (select *, row_number() over (partition by key order by coalesce(n_points, -1) desc, idx) as r from series_labels where key is not null) where r = 1")
@@ -415,16 +415,16 @@ def e10_stratified_schemes(spark, d):
 
 
 @query(S + """, m as (select key, vintage, avg(x) as mean, stddev_pop(x) as sd, count(*) as n from s group by all having stddev_pop(x) > 1e-9)
-select key, vintage, round(m.mean, 8) as mean, round(m.sd, 8) as sd, round(avg(((x - m.mean) / m.sd) ** 3), 8) + 0.0 as skew, round(avg(((x - m.mean) / m.sd) ** 4) - 3, 8) + 0.0 as kurt from m join s using (key, vintage) group by key, vintage, m.mean, m.sd""")
+select key, vintage, round(m.mean, 10) as mean, round(m.sd, 10) as sd, round(avg(((x - m.mean) / m.sd) ** 3), 10) + 0.0 as skew, round(avg(((x - m.mean) / m.sd) ** 4) - 3, 10) + 0.0 as kurt from m join s using (key, vintage) group by key, vintage, m.mean, m.sd""")
 def e12_moments(spark, d):
     m = ser(spark, d).groupBy(*BY).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt")).filter("sd > 1e-9")
-    return m.select(*BY, F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), rnd(F.col("skew"), 8).alias("skew"), rnd(F.col("kurt"), 8).alias("kurt"))
+    return m.select(*BY, F.round("mean", 10).alias("mean"), F.round("sd", 10).alias("sd"), rnd(F.col("skew"), 10).alias("skew"), rnd(F.col("kurt"), 10).alias("kurt"))
 
 
-@query(S + " select key, vintage, round(quantile_cont(x, 0.05), 8) as p05, round(median(x), 8) as p50, round(quantile_cont(x, 0.95), 8) as p95, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 8) as iqr from s group by all")
+@query(S + " select key, vintage, round(quantile_cont(x, 0.05), 10) as p05, round(median(x), 10) as p50, round(quantile_cont(x, 0.95), 10) as p95, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 10) as iqr from s group by all")
 def e13_percentiles(spark, d):
     q = lambda p: F.percentile("x", F.lit(p))
-    return ser(spark, d).groupBy(*BY).agg(F.round(q(0.05), 8).alias("p05"), F.round(q(0.5), 8).alias("p50"), F.round(q(0.95), 8).alias("p95"), F.round(q(0.75) - q(0.25), 8).alias("iqr"))
+    return ser(spark, d).groupBy(*BY).agg(F.round(q(0.05), 10).alias("p05"), F.round(q(0.5), 10).alias("p50"), F.round(q(0.95), 10).alias("p95"), F.round(q(0.75) - q(0.25), 10).alias("iqr"))
 
 
 @query(S + """, t as (select key, vintage, atan2(dx, x) as th from (select key, vintage, x, x - lag(x) over w as dx from s window w as (partition by key, vintage order by pos)) where dx is not null),
@@ -451,12 +451,12 @@ def edges(spark, d):
     return x.join(nation("c_nationkey", "src"), "c_nationkey").join(nation("s_nationkey", "tgt"), "s_nationkey").select("src", "tgt", "w")
 
 
-@query(_EDGES + ", o as (select src as node, sum(w) as out_w from e group by all), i as (select tgt as node, sum(w) as in_w from e group by all) select node, round(coalesce(out_w, 0), 8) as out_w, round(coalesce(in_w, 0), 8) as in_w, round(coalesce(out_w, 0) - coalesce(in_w, 0), 8) + 0.0 as net, round(coalesce(out_w, 0) + coalesce(in_w, 0), 8) as total from o full join i using (node)")
+@query(_EDGES + ", o as (select src as node, sum(w) as out_w from e group by all), i as (select tgt as node, sum(w) as in_w from e group by all) select node, round(coalesce(out_w, 0), 10) as out_w, round(coalesce(in_w, 0), 10) as in_w, round(coalesce(out_w, 0) - coalesce(in_w, 0), 10) + 0.0 as net, round(coalesce(out_w, 0) + coalesce(in_w, 0), 10) as total from o full join i using (node)")
 def e15_node_degrees(spark, d):
     # one pass: each edge counts for both its ends
     e = edges(spark, d).select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("w").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("tgt").alias("node"), F.lit(0.0).alias("o"), F.col("w").alias("i")))).alias("e")).select("e.*")
     g = e.groupBy("node").agg(F.sum("o").alias("out_w"), F.sum("i").alias("in_w"))
-    return g.select("node", F.round("out_w", 8).alias("out_w"), F.round("in_w", 8).alias("in_w"), rnd(F.col("out_w") - F.col("in_w"), 8).alias("net"), F.round(F.col("out_w") + F.col("in_w"), 8).alias("total"))
+    return g.select("node", F.round("out_w", 10).alias("out_w"), F.round("in_w", 10).alias("in_w"), rnd(F.col("out_w") - F.col("in_w"), 10).alias("net"), F.round(F.col("out_w") + F.col("in_w"), 10).alias("total"))
 
 
 @query("select label, i, round(avg(v), 6) + 0.0 as v from (select label, unnest(range(64)) as i, unnest(embedding)::double as v from embeddings) group by all")
@@ -464,10 +464,10 @@ def e16_mean_pool(spark, d):
     return table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", F.col("i").cast("long").alias("i")).agg(rnd(F.avg(F.col("v").cast("double"))).alias("v"))
 
 
-@query("select concept, count(d) as n, round(avg(d) filter (isfinite(d)), 6) as mean, round(stddev_pop(d) filter (isfinite(d)), 6) as sd from per_concept_matched_n group by all")
+@query("select concept, count(d) as n, round(avg(d) filter (isfinite(d)), 9) as mean, round(stddev_pop(d) filter (isfinite(d)), 9) as sd from per_concept_matched_n group by all")
 def e17_finite_mean_sd(spark, d):
     x = F.when(~F.isnan("d"), F.col("d"))
-    return table(spark, d, "per_concept_matched_n").groupBy("concept").agg(F.count("d").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"))
+    return table(spark, d, "per_concept_matched_n").groupBy("concept").agg(F.count("d").alias("n"), F.round(F.avg(x), 9).alias("mean"), F.round(F.stddev_pop(x), 9).alias("sd"))
 
 
 @query("select corpus_id, count(distinct key) as n_keys, count(distinct source) as n_sources from series_labels group by all")
@@ -483,21 +483,21 @@ def w01_lag(spark, d):
     return ser(spark, d).select(*BY, "pos", F.lag("x", 4).over(sr.over()).alias("lag4"))
 
 
-@query(S + f" select key, vintage, pos, round(avg(x) over (partition by key, vintage order by pos rows between unbounded preceding and 1 preceding), 8) + 0.0 as m from s")
+@query(S + f" select key, vintage, pos, round(avg(x) over (partition by key, vintage order by pos rows between unbounded preceding and 1 preceding), 10) + 0.0 as m from s")
 def w02_recursive_mean(spark, d):
-    return ser(spark, d).select(*BY, "pos", rnd(F.avg("x").over(sr.over().rowsBetween(Window.unboundedPreceding, -1)), 8).alias("m"))
+    return ser(spark, d).select(*BY, "pos", rnd(F.avg("x").over(sr.over().rowsBetween(Window.unboundedPreceding, -1)), 10).alias("m"))
 
 
-@query(S + " select key, vintage, pos, round(avg(x) over (partition by key, vintage order by pos rows between 14 preceding and 3 preceding), 8) + 0.0 as m from s")
+@query(S + " select key, vintage, pos, round(avg(x) over (partition by key, vintage order by pos rows between 14 preceding and 3 preceding), 10) + 0.0 as m from s")
 def w03_rolling_origin_mean(spark, d):
-    return ser(spark, d).select(*BY, "pos", rnd(F.avg("x").over(sr.over().rowsBetween(-14, -3)), 8).alias("m"))
+    return ser(spark, d).select(*BY, "pos", rnd(F.avg("x").over(sr.over().rowsBetween(-14, -3)), 10).alias("m"))
 
 
 @query(S + """, n as (select *, count(*) over (partition by key, vintage) as n from s), t as (select distinct key, vintage, unnest(range(0, n - 60, 12)) as start from n where n > 60)
-select key, vintage, start, start + 30 as centre, count(*) as rows, round(avg(x), 8) + 0.0 as mean from t join s using (key, vintage) where pos - 1 >= start and pos - 1 < start + 60 group by all""")
+select key, vintage, start, start + 30 as centre, count(*) as rows, round(avg(x), 10) + 0.0 as mean from t join s using (key, vintage) where pos - 1 >= start and pos - 1 < start + 60 group by all""")
 def w04_count_windows(spark, d):
     r = sr.rolling_starts(ser(spark, d), 60, 12)
-    return r.groupBy(*BY, F.col("start").cast("long").alias("start"), F.col("centre").cast("long").alias("centre")).agg(F.count("*").alias("rows"), rnd(F.avg("x"), 8).alias("mean"))
+    return r.groupBy(*BY, F.col("start").cast("long").alias("start"), F.col("centre").cast("long").alias("centre")).agg(F.count("*").alias("rows"), rnd(F.avg("x"), 10).alias("mean"))
 
 
 @query(_EDGES + " select src, tgt, rank() over (partition by src order by round(w, 4) desc) as r from e")
@@ -513,17 +513,17 @@ def w08_cumulative_share(spark, d):
     return e.select("label", "k", F.round(F.sum("v").over(w) / F.sum("v").over(Window.partitionBy("label")), 6).alias("share"))
 
 
-@query(S + f" select key, vintage, pos, round(coalesce((lead(x) over w - lag(x) over w) / 2, lead(x) over w - x, x - lag(x) over w), 8) + 0.0 as g from s {W}")
+@query(S + f" select key, vintage, pos, round(coalesce((lead(x) over w - lag(x) over w) / 2, lead(x) over w - x, x - lag(x) over w), 10) + 0.0 as g from s {W}")
 def w09_gradient(spark, d):
-    return ser(spark, d).select(*BY, "pos", rnd(sr.gradient(), 8).alias("g"))
+    return ser(spark, d).select(*BY, "pos", rnd(sr.gradient(), 10).alias("g"))
 
 
 @query(S + f""", g as (select key, vintage, pos, stddev_pop(x) over (partition by key, vintage order by pos rows between current row and 7 following) as sd, count(*) over (partition by key, vintage order by pos rows between current row and 7 following) as n from s)
-select key, vintage, round(min(sd), 8) + 0.0 as flattest from g where n = 8 group by all""")
+select key, vintage, round(min(sd), 10) + 0.0 as flattest from g where n = 8 group by all""")
 def w10_flattest_window(spark, d):
     w = sr.over().rowsBetween(0, 7)
     g = ser(spark, d).select(*BY, F.stddev_pop("x").over(w).alias("sd"), F.count("*").over(w).alias("n"))
-    return g.filter("n = 8").groupBy(*BY).agg(rnd(F.min("sd"), 8).alias("flattest"))
+    return g.filter("n = 8").groupBy(*BY).agg(rnd(F.min("sd"), 10).alias("flattest"))
 
 
 @query(S + f""", a as (select *, x > coalesce(lag(x) over w, x) as up from s {W}), b as (select *, sum(case when up is distinct from lag(up) over w then 1 else 0 end) over w as run0 from (select *, lag(up) over (partition by key, vintage order by pos) as pu from a) {W})
@@ -534,9 +534,9 @@ def w11_longest_run(spark, d):
     return sr.islands(x, F.col("up")).filter("value").groupBy(*BY).agg(F.max("length").alias("longest"))
 
 
-@query(S + f" select key, vintage, pos, round(sum(x) over w, 2) + 0.0 as total from s {W}")
+@query(S + f" select key, vintage, pos, round(sum(x) over w, 5) + 0.0 as total from s {W}")
 def w12_cumulative_sum(spark, d):
-    return ser(spark, d).select(*BY, "pos", rnd(F.sum("x").over(sr.over()), 2).alias("total"))
+    return ser(spark, d).select(*BY, "pos", rnd(F.sum("x").over(sr.over()), 5).alias("total"))
 
 
 @query(S + """, n as (select key, vintage, count(*) as n from s group by all), f as (select key, vintage, n, unnest(range(greatest(ceil((n - 6 - 5 - 60) / 12.0), 0)::bigint)) as fold from n)
@@ -555,11 +555,11 @@ def l01_top_scores(spark, d):
     return x.orderBy(F.desc(F.abs("v")), "vec_id", "k").limit(50).withColumn("k", F.col("k").cast("long"))
 
 
-@query(_EDGES + " select src, tgt, round(w, 8) as w from e where w >= (select quantile_cont(w, 0.7) from e)")
+@query(_EDGES + " select src, tgt, round(w, 10) as w from e where w >= (select quantile_cont(w, 0.7) from e)")
 def l06_percentile_threshold(spark, d):
     e = edges(spark, d)
     t = e.agg(F.percentile("w", F.lit(0.7)).alias("t"))
-    return e.join(F.broadcast(t), F.col("w") >= F.col("t")).select("src", "tgt", F.round("w", 8).alias("w"))
+    return e.join(F.broadcast(t), F.col("w") >= F.col("t")).select("src", "tgt", F.round("w", 10).alias("w"))
 
 
 @query(S + " select key, vintage, min_by(date, (x, pos)) as at_least, max_by(date, (x, -pos)) as at_most from s group by all")

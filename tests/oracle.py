@@ -48,7 +48,7 @@ def compare(spark, f, sql, d):
     if gc != wc:
         return False, f"{said} columns {gc} {wc}"
     if gr != wr:
-        a, b = [x for x in gr if x not in set(wr)][:3], [x for x in wr if x not in set(gr)][:3]
+        a, b = sorted(set(gr) - set(wr))[:3], sorted(set(wr) - set(gr))[:3]
         return False, f"{said}\n   spark {a}\n   sql   {b}"
     return True, said
 
