@@ -35,7 +35,7 @@ def against(points: DataFrame, queries: DataFrame, kernel, schema: str, rows: in
             return kernel_empty
         return kernel(q.id.to_numpy(), np.vstack(q.v), q.label.to_numpy(), p.id.to_numpy(), np.vstack(p.v), p.label.to_numpy())
 
-    kernel_empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+    kernel_empty = pd.DataFrame({c.split()[0]: pd.Series([], dtype="float64") for c in schema.split(", ")})
     return both.groupBy("qb", "pb").applyInPandas(run, schema)
 
 
