@@ -45,11 +45,12 @@ INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏⁥ㅤﾠ"
 #: Kinds of compatibility decomposition that change no look, and ranges where others change none either.
 SAME_LOOK_KINDS = ("<wide>", "<narrow>", "<noBreak>")
 SAME_LOOK_RANGES = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x2160, 0x217F), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0132, 0x0133))
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 LINE_BREAKS = "\n\r\x0b\x0c\x85  "
 
 
-def build_tables() -> tuple[dict[int, str], re.Pattern]:
-    """Replacements by code point, and the pattern of unstable segments with their boundary context."""
+def build_tables() -> tuple[dict[int, str], tuple[re.Pattern, re.Pattern], re.Pattern]:
+    """Replacements by code point, and the patterns of unstable segments and of characters that join with the one before."""
     table: dict[int, str] = {ord(a): b for a, b in LOOK_ALIKE.items()}
     table |= {ord(c): "-" for c in HYPHENS} | {ord(c): "" for c in INVISIBLE}
     joining, unstable = [], []
@@ -82,8 +83,9 @@ def build_tables() -> tuple[dict[int, str], re.Pattern]:
     for cp, text in table.items():
         table[cp] = "".join(table.get(ord(x), x) for x in text)
     cls = lambda cps: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans(sorted(set(cps))))
-    every = cls([*joining, *unstable, 0x09])
-    return table, re.compile(rf"(?s:[^{every}\n](?=[{every}]))?[{every}]+")
+    every = [*joining, *unstable, 0x09]
+    # a class within the basic plane compiles to a bitmap; the full one, a list of ranges, serves the rare other texts
+    return table, (re.compile(f"[{cls(c for c in every if c < 0x10000)}]+"), re.compile(f"[{cls(every)}]+")), re.compile(f"[{cls(joining)}]")
 
 
 def spans(cps: list[int]) -> list[tuple[int, int]]:
@@ -97,7 +99,7 @@ def spans(cps: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def tables() -> tuple[dict[int, str], re.Pattern, dict[str, str]]:
+def tables() -> tuple[dict[int, str], tuple[re.Pattern, re.Pattern], re.Pattern, dict[str, str | None]]:
     """The tables and a memory of segments, once for each Python worker."""
     cache = worker_cache()
     if "same_look" not in cache:
@@ -119,17 +121,26 @@ def canonical(text: str) -> str:
     """The one form of a text's look. A text of ASCII characters without tab is unchanged."""
     if text.isascii() and "\t" not in text:
         return text.replace("\r\n", "\n") if "\r" in text else text
-    table, pattern, memory = tables()
-
-    def splice(m: re.Match) -> str:
-        s = m[0]
-        if (out := memory.get(s)) is None:
-            out = canonical_segment(s, table)
-            if len(s) <= 40 and len(memory) < 200_000:
-                memory[s] = out
-        return out
-
-    out = pattern.sub(splice, text)
+    table, (basic, full), joins, memory = tables()
+    pattern = full if ASTRAL.search(text) else basic
+    pieces, done = [], 0
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        segment = m[0]
+        new = memory.get(segment, segment)
+        if new is segment:  # not known yet: canonical on its own, or None if it joins with what stands before
+            new = None if joins.search(segment) else canonical_segment(segment, table)
+            if len(segment) <= 40 and len(memory) < 200_000:
+                memory[segment] = new
+        if new is None:
+            if start > done:
+                start -= 1
+            new = canonical_segment(text[start:end], table)
+        pieces.append(text[done:start])
+        pieces.append(new)
+        done = end
+    pieces.append(text[done:])
+    out = "".join(pieces)
     if not ud.is_normalized("NFC", out):
         out = canonical_segment(out, table)
     return out.replace("\r\n", "\n") if "\r" in out else out

@@ -4,7 +4,7 @@ import unicodedata as ud
 from seriesloom.llm.same_look import HYPHENS, INVISIBLE, LOOK_ALIKE, build_tables, canonical, canonical_documents, canonical_segment, look_classes, same_look_pairs
 from seriesloom.runtime import table
 
-TABLE, PATTERN = build_tables()
+TABLE = build_tables()[0]
 
 
 def whole(text):
