@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.runtime import cut
+
 PRODUCER = ["artifact", "lab"]
 #: Objects whose members are fields of their own.
 NESTED = ("estimates",)
@@ -110,15 +112,20 @@ def renamings(catalogue: DataFrame, per_run: DataFrame) -> DataFrame:
     return same.withColumn("a", best("old_field", "field")).withColumn("b", best("field", "old_field")).filter("a = 1 and b = 1").select(*step, "old_field", "field")
 
 
+def history(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Values by run, file order and catalogue, each computed once: bodies are parsed and exploded a single time."""
+    per_run, order = cut(run_values(entry_values(entries))), cut(file_order(entries))
+    return per_run, order, cut(lifespans(per_run, order))
+
+
 def changes(entries: DataFrame) -> DataFrame:
     """Each change from a file to the next existing one: artifact, lab, file_no, change, field, old_field.
 
     Runs on any number of producers and files; an empty table has no changes.
     """
-    per_run, order = run_values(entry_values(entries)), file_order(entries)
-    catalogue = lifespans(per_run, order)
+    per_run, order, catalogue = history(entries)
     at = order.select(*PRODUCER, "ord", "file_no")
-    renamed = renamings(catalogue, per_run)
+    renamed = cut(renamings(catalogue, per_run))
     ends = catalogue.filter("ends and ord < n_files").select(*PRODUCER, (F.col("ord") + 1).alias("ord"), "field")
     begins = catalogue.filter("starts and ord > 1").select(*PRODUCER, "ord", "field")
     key = [*PRODUCER, "ord", "field"]
@@ -133,8 +140,7 @@ def changes(entries: DataFrame) -> DataFrame:
 
 def aliases(entries: DataFrame) -> DataFrame:
     """Alias table: producer, file_no, field, canonical (the first name of the field's chain of renamings)."""
-    per_run, order = run_values(entry_values(entries)), file_order(entries)
-    catalogue = lifespans(per_run, order)
+    per_run, _, catalogue = history(entries)
     edges = renamings(catalogue, per_run).groupBy(*PRODUCER).agg(F.sort_array(F.collect_list(F.struct("ord", "old_field", "field")), asc=False).alias("edges"))
     walk = F.aggregate(
         F.coalesce("edges", F.array().cast("array<struct<ord:int,old_field:string,field:string>>")), F.struct(F.col("ord").alias("ord"), F.col("field").alias("name")),
@@ -158,7 +164,7 @@ def unified(entries: DataFrame) -> DataFrame:
     canonical field, cast by the alias table (bigint, double, boolean, else text; lists and objects as
     JSON). An entry without fields keeps its row with nulls. The list of columns is read on the driver; it
     holds names only, and more than MAX_COLUMNS of them are refused (use ``long_table``)."""
-    long = long_table(entries)
+    long = cut(long_table(entries))
     kinds = long.groupBy("canonical").agg(F.collect_set("type").alias("kinds")).orderBy("canonical").limit(MAX_COLUMNS + 1).collect()
     if len(kinds) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} canonical fields")
