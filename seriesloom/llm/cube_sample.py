@@ -10,10 +10,10 @@ imbalance is reported.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -130,20 +130,27 @@ def _flight_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from rest.to_batches()
 
 
-def _land_corpus(df: pd.DataFrame) -> pd.DataFrame:
-    """Top of the merge: flight, general flight and landing of one scheme and corpus."""
-    df = df.sort_values(["grp", "h", "key"], kind="stable").reset_index(drop=True)
-    pi = flight(df["grp"].to_numpy(), df["pi"].to_numpy(), df["h"].to_numpy())
-    concepts = df["concepts"].map(list)
-    open_ = (pi > EPS) & (pi < 1 - EPS)
-    if open_.any():
-        weight = concepts[open_].explode().value_counts()
-        names = sorted(weight.index, key=lambda c: (weight[c], c))  # scarce categories keep their constraint longest
-        member = np.array([[c in row for c in names] for row in concepts[open_]])
-        seed = int(np.abs(df["h"].iloc[0]))
-        pi[open_] = land(pi[open_], member, np.random.default_rng(seed))
-    df["pi"] = np.round(pi)
-    return df[NAMES]
+def _land_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Top of the merge for the corpora of a partition: one flight over all of them, then general flight and
+    landing of each scheme and corpus that still has undecided records."""
+    held = list(batches)
+    if not held:
+        return
+    t = pa.Table.from_batches(held).sort_by([("scheme_id", "ascending"), ("corpus_id", "ascending"), ("grp", "ascending"), ("h", "ascending"), ("key", "ascending")])
+    pi = flight(t["grp"].to_numpy(), t["pi"].to_numpy(), t["h"].to_numpy())
+    rest = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
+    scheme, corpus = t["scheme_id"].to_numpy()[rest], t["corpus_id"].to_numpy()[rest]
+    ends = np.flatnonzero(np.r_[(scheme[1:] != scheme[:-1]) | (corpus[1:] != corpus[:-1]), True][: len(rest)]) + 1
+    concepts = t["concepts"].take(pa.array(rest)).to_pylist()
+    first = 0
+    for end in ends:
+        own, rows = rest[first:end], concepts[first:end]
+        weight = Counter(c for row in rows for c in row)
+        names = sorted(weight, key=lambda c: (weight[c], c))  # scarce categories keep their constraint longest
+        member = np.array([[c in row for c in names] for row in rows])
+        pi[own] = land(pi[own], member, np.random.default_rng(abs(t["h"][int(own[0])].as_py())))
+        first = end
+    yield from t.set_column(6, "pi", pa.array(np.round(pi))).to_batches()
 
 
 def targets_of(targets: DataFrame) -> list:
@@ -199,7 +206,8 @@ def draw(labels: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFram
         level = cut(loose.repartition(parts, "scheme_id", "corpus_id", F.pmod("h", F.lit(parts))).mapInArrow(_flight_partition, UNIT))
         decided.append(level.filter(f"pi >= 1 - {EPS}"))
         loose = level.filter(f"pi > {EPS} and pi < 1 - {EPS}")
-    top = loose.groupBy("scheme_id", "corpus_id").applyInPandas(_land_corpus, UNIT)
+    width = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = loose.repartition(width, "scheme_id", "corpus_id").mapInArrow(_land_partition, UNIT)
     decided.append(top.filter("pi = 1"))
     out = decided[0]
     for d in decided[1:]:
