@@ -54,11 +54,6 @@ def _members(top: Column, name: str, is_object) -> Column:
     return F.transform(members, lambda e: F.struct(F.concat(F.lit(f"{name}."), e["key"]).alias("key"), e["value"].alias("value")))
 
 
-def _text_of(name: str) -> Column:
-    """JSON of one canonical field among an entry's pairs."""
-    return F.try_element_at(F.transform(F.filter("pairs", lambda p: p["canonical"] == name), lambda p: p["json"]), F.lit(1))
-
-
 def run_values(values: DataFrame) -> DataFrame:
     """One row for each file, run and field: kinds seen and a hash of the value (entries delivered twice fall together)."""
     return values.groupBy(*PRODUCER, "file_no", "run", "field").agg(F.collect_set("type").alias("kinds"), F.min(F.when(F.col("type").isNotNull(), F.xxhash64("json"))).alias("value"))
@@ -168,13 +163,15 @@ def unified(entries: DataFrame) -> DataFrame:
     kinds = long.groupBy("canonical").agg(F.collect_set("type").alias("kinds")).orderBy("canonical").limit(MAX_COLUMNS + 1).collect()
     if len(kinds) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} canonical fields")
-    packed = long.filter("type is not null").groupBy("entry_id").agg(F.collect_list(F.struct("canonical", "json")).alias("pairs"))
-    out = entries.select("entry_id", *PRODUCER, "file_no", "run").join(packed, "entry_id", "left")
+    if not kinds:
+        return entries.select("entry_id", *PRODUCER, "file_no", "run")
+    own = long.filter("type is not null").groupBy("entry_id").agg(*[F.max(F.when(F.col("canonical") == r.canonical, F.col("json"))).alias(f"j{k}") for k, r in enumerate(kinds)])
+    out = entries.select("entry_id", *PRODUCER, "file_no", "run").join(own, "entry_id", "left")
     columns = []
-    for row in kinds:
+    for k, row in enumerate(kinds):
         seen = set(row.kinds)
         kind = next(iter(seen)) if len(seen) == 1 else "number" if seen == {"integer", "number"} else "string"
-        raw = _text_of(row.canonical)
+        raw = F.col(f"j{k}")
         text = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"] if kind == "string" else raw
         columns.append(text.try_cast(CASTS[kind]).alias(f"f_{row.canonical.replace('.', '_')}"))
     return out.select("entry_id", *PRODUCER, "file_no", "run", *columns)

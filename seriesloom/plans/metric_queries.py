@@ -272,7 +272,9 @@ def grouped(spark, d, f, schema, least=60):
         rows = rows or [[None] * len(names)]
         return pd.DataFrame([[key, vintage, *r, ok, error] for r in rows], columns=["key", "vintage", *names, "ok", "error"])
 
-    return ser(spark, d).groupBy(*BY).applyInPandas(run, f"key string, vintage int, {schema}, ok boolean, error string")
+    # a fixed number of partitions: the kernels cost far more than their few bytes, which adaptive coalescing would put into one task
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ser(spark, d).repartition(width, *BY).groupBy(*BY).applyInPandas(run, f"key string, vintage int, {schema}, ok boolean, error string")
 
 
 def nan_to_none(v):

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL: python tests/oracle.py SF [NAME...]"""
+"""Compare registered queries with their SQL: python tests/oracle.py SF [--sql] [PREFIX...]; --sql leaves out those without."""
 
 import math
 import sys
@@ -62,7 +62,9 @@ if __name__ == "__main__":
     spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     q, o = e.queries(), e.oracle_sql()
-    only = sys.argv[2:]
+    only = [x for x in sys.argv[2:] if x != "--sql"]
+    if "--sql" in sys.argv:
+        q = {k: f for k, f in q.items() if k in o}
     bad = []
     for name, f in q.items():
         if only and not any(name.startswith(x) for x in only):
