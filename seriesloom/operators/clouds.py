@@ -53,6 +53,63 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
     return part.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 
+def median_distances(points: DataFrame, bins: int = 4096, few: int = 100_000) -> DataFrame:
+    """same, d: the exact median distance of pairs with equal and with different labels. Counts of blocks narrow both
+    medians down until few distances are left; only these are returned, so no pass emits all pairs."""
+
+    def split(qi, q, ql, pi, p, pl):
+        d, same, once = distances(q, p), ql[:, None] == pl[None], qi[:, None] < pi[None]
+        return [(k, d[once & (same == k)]) for k in (True, False)]
+
+    def ends(*block):
+        return pd.DataFrame([(k, len(d), d.max() if len(d) else 0.0) for k, d in split(*block)], columns=["same", "n", "hi"])
+
+    found = {r.same: r for r in against(points, points, ends, "same boolean, n long, hi double").groupBy("same").agg(F.sum("n").alias("n"), F.max("hi").alias("hi")).collect()}
+    # distances of another pass may differ in the last bits, so a range is a little wider than its bins
+    ranges = {k: (-1e-9, r.hi * (1 + 1e-9) + 1e-9) for k, r in found.items() if r.n}
+    left = {k: found[k].n for k in ranges}
+    middle = {k: ((found[k].n - 1) // 2, found[k].n // 2) for k in ranges}
+    for _ in range(4):
+        if all(n <= few for n in left.values()):
+            break
+
+        def counts(*block):
+            rows = []
+            for k, d in split(*block):
+                if k in ranges:
+                    lo, hi = ranges[k]
+                    at = np.bincount(np.clip((d - lo) / (hi - lo) * bins + 1, 0, bins + 1).astype(int), minlength=bins + 2)
+                    rows += [(k, int(b), int(at[b])) for b in np.flatnonzero(at)]
+            return pd.DataFrame(rows, columns=["same", "bin", "n"])
+
+        seen = against(points, points, counts, "same boolean, bin int, n long").groupBy("same", "bin").agg(F.sum("n").alias("n")).toPandas()
+        for k in list(ranges):
+            at = np.zeros(bins + 2, int)
+            own = seen[seen.same == k]
+            at[own.bin] = own.n
+            a, b = np.searchsorted(np.cumsum(at), middle[k], "right")
+            (lo, hi), step = ranges[k], (ranges[k][1] - ranges[k][0]) / bins
+            ranges[k] = (lo + (a - 1) * step - 1e-9, lo + b * step + 1e-9)
+            left[k] = int(at[a : b + 1].sum())
+
+    def rest(*block):
+        rows = []
+        for k, d in split(*block):
+            if k in ranges:
+                lo, hi = ranges[k]
+                rows.append((k, -1.0, int((d < lo).sum())))
+                rows += [(k, float(x), int(n)) for x, n in zip(*np.unique(d[(d >= lo) & (d <= hi)], return_counts=True))]
+        return pd.DataFrame(rows, columns=["same", "d", "n"])
+
+    e = against(points, points, rest, "same boolean, d double, n long").groupBy("same", "d").agg(F.sum("n").alias("n")).toPandas().sort_values("d")
+    out = []
+    for k in ranges:
+        own = e[e.same == k]
+        pick = np.searchsorted(np.cumsum(own.n), middle[k], "right")
+        out.append((k, float(own.d.iloc[pick].mean())))
+    return points.sparkSession.createDataFrame(out, "same boolean, d double")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -88,7 +88,17 @@ def h04_mutual_information(spark, d):
 
 @query(PLAN + ", x as (select t.id, unnest(range(64)) as k, unnest(t.t) as m from t), y as (select id, k // 8 as r, k % 8 as c, m from x) select a.id, a.r, b.r as c, round(sum(a.m * b.m), 9) as w from y a join y b on a.id = b.id and a.c = b.c where a.id % 20 = 0 group by all")
 def h08_mediated_coupling(spark, d):
-    x = asked(pts(spark, d)).select("id", cl.as_plan(F.col("v")).alias("t"))
+    return coupled(asked(pts(spark, d)))
+
+
+@query(ORACLE["h08_mediated_coupling"].replace(" where a.id % 20 = 0", ""))
+def h08_mediated_coupling_all(spark, d):
+    """The coupling of every plan."""
+    return coupled(pts(spark, d))
+
+
+def coupled(p):
+    x = p.select("id", cl.as_plan(F.col("v")).alias("t"))
     row = lambda i: F.slice("t", i * 8 + 1, 8)
     cells = F.array(*[F.struct(F.lit(i).cast("long").alias("r"), F.lit(j).cast("long").alias("c"), F.round(cl.dot(row(i), row(j)), 9).alias("w")) for i in range(8) for j in range(8)])
     return x.select("id", F.explode(cells).alias("e")).select("id", "e.*")
@@ -242,6 +252,13 @@ def t08_within_between(spark, d):
     return e.agg(F.round(med(F.col("same")) / med(~F.col("same")), 6).alias("ratio"))
 
 
+@query(ORACLE["t08_within_between"].replace(" where a.id % 20 = 0", ""))
+def t08_within_between_all(spark, d):
+    """The ratio over the pairs of all rows."""
+    m = cl.median_distances(pts(spark, d))
+    return m.agg(F.round(F.max(F.when(F.col("same"), F.col("d"))) / F.max(F.when(~F.col("same"), F.col("d"))), 6).alias("ratio"))
+
+
 # --- information and delay vectors ---------------------------------------------------------------------------------
 
 
@@ -325,12 +342,22 @@ def w06_plan_velocity(spark, d):
 @query(PLAN + ", s as (select a.label, a.id, sum(list_distance(a.t, b.t)) as s from t a join t b on a.label = b.label where a.id % 20 = 0 group by all) select label, min_by(id, (round(s, 9), id)) as medoid from s group by label")
 def g14_medoid(spark, d):
     p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v")))
+    return medoids(p, asked(p))
+
+
+@query(ORACLE["g14_medoid"].replace(" where a.id % 20 = 0", ""))
+def g14_medoid_all(spark, d):
+    """The medoid of a label among all its rows."""
+    p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v")))
+    return medoids(p, p)
+
 
+def medoids(p, candidates):
     def part(qi, q, ql, pi, x, pl):
         e = distances(q, x) * (ql[:, None] == pl[None]) * (qi[:, None] != pi[None])
         return pd.DataFrame({"id": qi, "label": ql, "s": e.sum(1)})
 
-    s = cl.against(p, asked(p), part, "id long, label long, s double").groupBy("label", "id").agg(F.round(F.sum("s"), 9).alias("s"))
+    s = cl.against(p, candidates, part, "id long, label long, s double").groupBy("label", "id").agg(F.round(F.sum("s"), 9).alias("s"))
     return s.groupBy("label").agg(F.min_by("id", F.struct("s", "id")).alias("medoid"))
 
 
@@ -346,5 +373,17 @@ def s01_sensitivity(spark, d):
 def v07_support(spark, d):
     p = pts(spark, d)
     odd = p.filter("id % 2 = 1")
-    own = cl.nearest(odd, odd.filter("id % 5 = 0"), 1).agg(F.percentile("d", F.lit(0.95)).alias("t"))
-    return cl.nearest(odd, asked(p), 1).join(F.broadcast(own)).agg(F.round(F.avg((F.col("d") <= F.col("t")).cast("int")), 6).alias("inside"))
+    return inside(odd, odd.filter("id % 5 = 0"), asked(p))
+
+
+@query(ORACLE["v07_support"].replace(" and a.id % 20 = 0", " and a.id % 2 = 0").replace(" and a.id % 5 = 0", ""))
+def v07_support_all(spark, d):
+    """Fitted on every odd row and scored on every even one."""
+    p = pts(spark, d)
+    odd = p.filter("id % 2 = 1")
+    return inside(odd, odd, p.filter("id % 2 = 0"))
+
+
+def inside(odd, fit, score):
+    own = cl.nearest(odd, fit, 1).agg(F.percentile("d", F.lit(0.95)).alias("t"))
+    return cl.nearest(odd, score, 1).join(F.broadcast(own)).agg(F.round(F.avg((F.col("d") <= F.col("t")).cast("int")), 6).alias("inside"))
