@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.geometry import distances
 from seriesloom.operators import clouds as cl
 from seriesloom.operators import series as sr
-from seriesloom.plans.series_queries import BY, S, rnd, ser
+from seriesloom.plans.series_queries import _PAIRS, BY, S, pairs, rnd, ser
 from seriesloom.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -311,6 +311,16 @@ def emb12_joint_embedding(spark, d):
     return a.withColumn("v", F.array("x", "y", F.lag("x", 4).over(w), F.lag("y", 4).over(w))).filter("pos > 4").select("key", "pos", "v")
 
 
+@query(_PAIRS + ", j as (select l.pair, l.date, row_number() over (partition by l.pair order by l.date) as pos, l.x, r.x as y from (select pair, date, max_by(x, pos) as x from a group by all) l join (select pair, date, max_by(x, pos) as x from b group by all) r using (pair, date)) select pair, pos, [x, y, lag(x, 4) over w, lag(y, 4) over w] as v from j window w as (partition by pair order by pos) qualify pos > 4")
+def emb12_joint_embedding_all(spark, d):
+    """Every vintage of a key with the preceding one."""
+    one = lambda s, n: s.groupBy("pair", "date").agg(F.max_by("x", "pos").alias(n))
+    a, b = pairs(spark, d)
+    w = Window.partitionBy("pair").orderBy("date")
+    j = one(a, "x").join(one(b, "y"), ["pair", "date"]).withColumn("pos", F.row_number().over(w))
+    return j.withColumn("v", F.array("x", "y", F.lag("x", 4).over(w), F.lag("y", 4).over(w))).filter("pos > 4").select("pair", "pos", "v")
+
+
 @query(S + ", w as (select key, vintage, (x <= lead(x) over z)::int * 4 + (x <= lead(x, 2) over z)::int * 2 + (lead(x) over z <= lead(x, 2) over z)::int as k from s window z as (partition by key, vintage order by pos)), n as (select key, vintage, k, count(*)::double as n from w where k is not null group by all) select key, vintage, round(-sum(n / t * ln(n / t)) / ln(6), 6) + 0.0 as pe3 from (select *, sum(n) over (partition by key, vintage) as t from n) group by all")
 def q01_permutation_entropy(spark, d):
     w = sr.over()

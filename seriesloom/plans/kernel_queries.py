@@ -19,7 +19,7 @@ from seriesloom.functions import transport as tr
 from seriesloom.operators import series as sr
 from seriesloom.plans.cloud_queries import pts
 from seriesloom.plans.metric_queries import grouped, nan_to_none, ser
-from seriesloom.plans.series_queries import BY
+from seriesloom.plans.series_queries import BY, vintages
 from seriesloom.runtime import cut, table
 from seriesloom.streaming import incremental as inc
 
@@ -65,22 +65,30 @@ def emb14_parameters(spark, d):
     return grouped(spark, d, run, "tau int, tau_old int, dim int, n_vectors int, growth double")
 
 
+def neighbours(spark, d):
+    """Readings of every vintage of a key with those of the preceding one, under the earlier vintage as ``first``; a sole vintage stands alone."""
+    s = ser(spark, d).select(*BY, "pos", "x")
+    first = F.array_compact(F.array("before", F.when(F.col("after").isNotNull() | F.col("before").isNull(), F.col("vintage"))))
+    # the kernels cost far more than their few bytes, which adaptive coalescing would put into one task
+    return s.join(vintages(s), BY).select("key", F.explode(first).alias("first"), "vintage", "pos", "x").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "first")
+
+
 @query()
 def emb13_joint_map(spark, d):
-    """Joint diffusion map of the first two vintages of a key: their standardised clouds, right-aligned, side by side (mode 0 where there is no such pair)."""
-    s = ser(spark, d).filter("vintage in (1, 2)").select("key", "vintage", "pos", "x")
+    """Joint diffusion map of every vintage of a key with the preceding one: their standardised clouds, right-aligned, side by side (mode 0 where there is no such pair)."""
+    s = neighbours(spark, d)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         parts = [em.embed((g - g.mean()) / (g.std() + 1e-9)) for _, g in ((v, h.sort_values("pos").x.to_numpy()) for v, h in df.groupby("vintage")) if len(g) >= 50 and g.std() > 1e-9]
         if len(parts) < 2:
-            return pd.DataFrame({"key": [df.key.iloc[0]], "mode": [0], "eigenvalue": [np.nan], "loops": [0]})
+            return pd.DataFrame({"key": [df.key.iloc[0]], "first": [df["first"].iloc[0]], "mode": [0], "eigenvalue": [np.nan], "loops": [0]})
         n = min(len(p[2]) for p in parts)
         v = thin(np.hstack([p[2][-n:] for p in parts]), 150)
         coords, values, *_ = gm.diffusion_map(gm.distances(v), 3)
         loops = tp.loops(gm.distances(coords), of="birth")
-        return pd.DataFrame({"key": df.key.iloc[0], "mode": range(1, len(values) + 1), "eigenvalue": values, "loops": loops})
+        return pd.DataFrame({"key": df.key.iloc[0], "first": df["first"].iloc[0], "mode": range(1, len(values) + 1), "eigenvalue": values, "loops": loops})
 
-    return s.groupBy("key").applyInPandas(run, "key string, mode int, eigenvalue double, loops int")
+    return s.groupBy("key", "first").applyInPandas(run, "key string, first int, mode int, eigenvalue double, loops int")
 
 
 # --- maps ------------------------------------------------------------------------------------------------
@@ -257,8 +265,8 @@ def s12_soft_routing(spark, d):
 
 @query()
 def s05_coupling(spark, d):
-    """Coupling of the first two vintages of a key: plan information, sensitivities both ways and their asymmetry."""
-    s = ser(spark, d).filter("vintage in (1, 2)").select("key", "vintage", "pos", "x")
+    """Coupling of every vintage of a key with the preceding one: plan information, sensitivities both ways and their asymmetry."""
+    s = neighbours(spark, d)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         clouds = []
@@ -268,10 +276,14 @@ def s05_coupling(spark, d):
                 v = em.embed((x - x.mean()) / x.std())[2]
                 if len(v) >= SUPPORTS:
                     clouds.append(v[gm.farthest_points(v, SUPPORTS)])
-        cols = ["key", "information", "asymmetry", "gauge", "f_forward", "p_forward", "f_back", "p_back"]
+        cols = ["key", "first", "information", "asymmetry", "gauge", "f_forward", "p_forward", "f_back", "p_back", "error"]
+        failed = lambda why: pd.DataFrame([[df.key.iloc[0], df["first"].iloc[0]] + [np.nan] * 7 + [why]], columns=cols)
         if len(clouds) < 2:
-            return pd.DataFrame([[df.key.iloc[0]] + [np.nan] * 7], columns=cols)
-        a, b = (tr.unit_max(gm.distances(c)) for c in clouds)
+            return failed("no two clouds")
+        try:
+            a, b = (tr.unit_max(gm.distances(c)) for c in clouds)
+        except ValueError as e:
+            return failed(str(e))
         t = tr.gw_plan(a, b, 0.02, 30)[0]
         p, q = t.sum(1), t.sum(0)
         own = t > 0
@@ -283,9 +295,9 @@ def s05_coupling(spark, d):
         dx, dy = np.diff(x[-n:]), np.diff(y[-n:])
         f1, p1 = st.granger(dx, dy)
         f2, p2 = st.granger(dy, dx)
-        return pd.DataFrame([[df.key.iloc[0], mi, tr.asymmetry(f, r), tr.asymmetry(f, r, "gauge"), f1, p1, f2, p2]], columns=cols)
+        return pd.DataFrame([[df.key.iloc[0], df["first"].iloc[0], mi, tr.asymmetry(f, r), tr.asymmetry(f, r, "gauge"), f1, p1, f2, p2, None]], columns=cols)
 
-    return s.groupBy("key").applyInPandas(run, "key string, information double, asymmetry double, gauge double, f_forward double, p_forward double, f_back double, p_back double")
+    return s.groupBy("key", "first").applyInPandas(run, "key string, first int, information double, asymmetry double, gauge double, f_forward double, p_forward double, f_back double, p_back double, error string")
 
 
 # --- dimension, topology, descriptors, nulls ------------------------------------------------------------------------

@@ -288,20 +288,56 @@ def _pair(spark, d):
     return one(1), one(2)
 
 
+_PAIRS = S + """, v as (select key, vintage, lag(vintage) over w as before, lead(vintage) over w as after from (select distinct key, vintage from s) window w as (partition by key order by vintage)),
+a as (select key || '#' || vintage as pair, pos, date, x from s join v using (key, vintage) where after is not null or before is null), b as (select key || '#' || before as pair, pos, date, x from s join v using (key, vintage) where before is not null)"""
+
+
+def vintages(s):
+    """Each vintage of a key with the ones before and after it; a sole vintage has neither."""
+    w = Window.partitionBy("key").orderBy("vintage")
+    return s.select(*BY).distinct().filter("key is not null and vintage is not null").withColumn("before", F.lag("vintage").over(w)).withColumn("after", F.lead("vintage").over(w))
+
+
+def pairs(spark, d):
+    """Every vintage of a key beside the preceding one: pair is the key and the earlier vintage. A sole vintage is a left side alone."""
+    s = ser(spark, d)
+    x = s.join(vintages(s), BY)
+    one = lambda where, v: x.filter(where).select(F.concat("key", F.lit("#"), v).alias("pair"), "pos", "date", "x")
+    return one("after is not null or before is null", "vintage"), one("before is not null", "before")
+
+
 @query(_PAIR + " select pair, date_trunc('month', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('month', b.date)::date")
 def j01_align_monthly(spark, d):
     return sr.align(*_pair(spark, d), "month")
 
 
+@query(ORACLE["j01_align_monthly"].replace(_PAIR, _PAIRS))
+def j01_align_monthly_all(spark, d):
+    return sr.align(*pairs(spark, d), "month")
+
+
 @query(_PAIR + " select pair, date_trunc('quarter', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('quarter', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('quarter', b.date)::date")
 def j02_align_quarterly(spark, d):
     return sr.align(*_pair(spark, d), "quarter")
 
 
+@query(ORACLE["j02_align_quarterly"].replace(_PAIR, _PAIRS))
+def j02_align_quarterly_all(spark, d):
+    return sr.align(*pairs(spark, d), "quarter")
+
+
 @query(_PAIR + """, u as (select pair, date_trunc('quarter', date)::date as q, avg(x) as x from a group by all), g as (select pair, date_trunc('quarter', date)::date as q, max_by(x, pos) as x from b group by all)
 select pair, q as quarter, round(u.x - lag(u.x) over w, 10) + 0.0 as du, round(100 * (ln(g.x) - ln(lag(g.x, 4) over w)), 10) + 0.0 as growth from u join (select pair, q, case when x > 0 then x end as x from g) g using (pair, q) window w as (partition by pair order by q)""")
 def j03_aggregate_then_join(spark, d):
-    a, b = _pair(spark, d)
+    return aggregated(*_pair(spark, d))
+
+
+@query(ORACLE["j03_aggregate_then_join"].replace(_PAIR, _PAIRS))
+def j03_aggregate_then_join_all(spark, d):
+    return aggregated(*pairs(spark, d))
+
+
+def aggregated(a, b):
     u = a.groupBy("pair", F.trunc("date", "quarter").alias("quarter")).agg(F.avg("x").alias("u"))
     g = b.groupBy("pair", F.trunc("date", "quarter").alias("quarter")).agg(F.max_by("x", "pos").alias("g")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
     w = Window.partitionBy("pair").orderBy("quarter")
@@ -311,8 +347,16 @@ def j03_aggregate_then_join(spark, d):
 @query(_PAIR + """, l as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all), r as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from b group by all)
 select coalesce(l.pair, r.pair) as pair, coalesce(l.m, r.m) as month, l.x as left_x, r.x as right_x from l full join r on l.pair = r.pair and l.m = r.m""")
 def j04_full_outer_months(spark, d):
+    return full_months(*_pair(spark, d))
+
+
+@query(ORACLE["j04_full_outer_months"].replace(_PAIR, _PAIRS))
+def j04_full_outer_months_all(spark, d):
+    return full_months(*pairs(spark, d))
+
+
+def full_months(a, b):
     m = lambda s, n: s.groupBy("pair", F.trunc("date", "month").alias("month")).agg(F.max_by("x", "pos").alias(n))
-    a, b = _pair(spark, d)
     return m(a, "left_x").join(m(b, "right_x"), ["pair", "month"], "full")
 
 

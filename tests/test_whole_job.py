@@ -1,5 +1,6 @@
 """Queries that must do the whole job: every row, vintage, value and point takes part."""
 
+import datetime
 import os
 import sys
 
@@ -36,3 +37,31 @@ def test_median_distances(spark, few):
     same = label[i] == label[j]
     got = {r.same: r.d for r in cl.median_distances(p, bins=16, few=few).collect()}
     assert np.isclose(got[True], np.median(d[i, j][same])) and np.isclose(got[False], np.median(d[i, j][~same]))
+
+
+@pytest.mark.parametrize("name", ["j01_align_monthly", "j02_align_quarterly", "j03_aggregate_then_join", "j04_full_outer_months", "emb12_joint_embedding"])
+def test_all_vintages_are_paired(spark, sf_dir, name):
+    ok, said = compare(spark, queries()[f"{name}_all"], oracle_sql()[f"{name}_all"], sf_dir)
+    assert ok, said
+    assert "vintage = 1" not in oracle_sql()[f"{name}_all"]
+
+
+@pytest.mark.parametrize("name", ["emb13_joint_map", "s05_coupling"])
+def test_all_vintages_are_coupled(spark, tmp_path, name):
+    rng = np.random.default_rng(1)
+    rows = [(f"{k}{v}{i}", k, v, datetime.date(2000, 1, 1) + datetime.timedelta(i), float(x)) for k, vs in (("a", (1, 2, 4, 7)), ("b", (1,))) for v in vs for i, x in enumerate(rng.normal(size=80))]
+    spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
+    got = queries()[name](spark, str(tmp_path)).toPandas()
+    assert set(zip(got.key, got["first"])) == {("a", 1), ("a", 2), ("a", 4), ("b", 1)}
+    value = got["eigenvalue" if name == "emb13_joint_map" else "information"]
+    assert value[got.key == "a"].notna().all() and value[got.key == "b"].isna().all()
+
+
+def test_a_degenerate_cloud_keeps_its_row(spark, tmp_path):
+    day = datetime.date(2000, 1, 1)
+    # only the last value differs, which no delay vector reaches
+    value = {1: lambda i: float(i == 89), 2: lambda i: float(np.sin(i * i))}
+    rows = [(f"{v}{i:03}", "a", v, day + datetime.timedelta(i), f(i)) for v, f in value.items() for i in range(90)]
+    spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
+    row = queries()["s05_coupling"](spark, str(tmp_path)).toPandas().iloc[0]
+    assert row["first"] == 1 and np.isnan(row.information) and "cost matrix" in row.error
