@@ -43,20 +43,33 @@ def walk(n, horizon=1, init=None, step=12, embargo=None):
     return out
 
 
-def autoregression(y, horizon, top=12):
-    """Forecast by AR(p), p of least BIC; the mean for short series."""
+def autoregression_fit(y, p):
+    """Coefficients (constant first) and residual sum of squares of AR(p)."""
+    n = len(y)
+    a = np.column_stack([np.ones(n - p), *(y[p - k - 1 : n - k - 1] for k in range(p))])
+    beta = np.linalg.lstsq(a, y[p:], rcond=None)[0]
+    return beta, np.square(y[p:] - a @ beta).sum()
+
+
+def autoregression_order(y, top=12):
+    """Order of least BIC; None for short series."""
     n = len(y)
     best = (np.inf, None)
     for p in range(1, min(top, (n - 1) // 3) + 1):
-        a = np.column_stack([np.ones(n - p), *(y[p - k - 1 : n - k - 1] for k in range(p))])
-        beta = np.linalg.lstsq(a, y[p:], rcond=None)[0]
-        rss = np.square(y[p:] - a @ beta).sum()
-        best = min(best, ((n - p) * np.log(max(rss, 1e-300) / (n - p)) + (p + 1) * np.log(n - p), p, beta), key=lambda b: b[0])
-    if best[1] is None:
-        return float(y.mean()) if n else float("nan")
+        rss = autoregression_fit(y, p)[1]
+        best = min(best, ((n - p) * np.log(max(rss, 1e-300) / (n - p)) + (p + 1) * np.log(n - p), p), key=lambda b: b[0])
+    return best[1]
+
+
+def autoregression(y, horizon, p=None):
+    """Forecast by AR(p), p of least BIC unless given; the mean for short series."""
+    p = autoregression_order(y) if p is None else p
+    if p is None:
+        return float(y.mean()) if len(y) else float("nan")
+    beta = autoregression_fit(y, p)[0]
     past = list(y)
     for _ in range(horizon):
-        past.append(best[2][0] + sum(best[2][k + 1] * past[-k - 1] for k in range(best[1])))
+        past.append(beta[0] + sum(beta[k + 1] * past[-k - 1] for k in range(p)))
     return float(past[-1])
 
 
@@ -77,6 +90,8 @@ def ladder(y, horizon=1, lags=4, seed=0):
         axes = np.linalg.svd(x[rows] - m, full_matrices=False)[2][:2]
         scores = (x - m) @ axes.T
         models["pca_ridge"] = (scores, *ridge(scores[rows], y[rows + horizon], choose_penalty(scores[rows], y[rows + horizon])[0]))
+        # the order is chosen once a fold, on its training values; the fit is renewed at every origin
+        order = autoregression_order(y[:end])
         for t in range(a, b):
             base = float(y[: t - horizon + 1].mean())
             at = t - horizon
@@ -85,6 +100,5 @@ def ladder(y, horizon=1, lags=4, seed=0):
             out.append(("random_walk", f, t, float(y[t]), float(y[max(t - horizon, 0)]), base))
             o = t - horizon + 1
             out.append(("rolling_mean", f, t, float(y[t]), float(y[max(o - 12, 0) : o].mean()), base))
-        fit = autoregression(y[: a - horizon + 1], horizon)
-        out.append(("autoregression", f, a, float(y[a]), fit, float(y[: a - horizon + 1].mean())))
+            out.append(("autoregression", f, t, float(y[t]), autoregression(y[:o], horizon, order), base))
     return out

@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import compare
 
+from seriesloom.functions import forecasting as fo
 from seriesloom.operators import clouds as cl
 from seriesloom.plans.registry import oracle_sql, queries
 
@@ -65,3 +66,15 @@ def test_a_degenerate_cloud_keeps_its_row(spark, tmp_path):
     spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
     row = queries()["s05_coupling"](spark, str(tmp_path)).toPandas().iloc[0]
     assert row["first"] == 1 and np.isnan(row.information) and "cost matrix" in row.error
+
+
+def test_the_ladder_takes_the_whole_series(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    day = datetime.date(2000, 1, 1)
+    rows = [(f"{k}{i:04}", k, 1, day + datetime.timedelta(i), float(x)) for k, n in (("long", 500), ("short", 70), ("none", 40)) for i, x in enumerate(rng.normal(size=n).cumsum())]
+    spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
+    got = queries()["f11_ladder"](spark, str(tmp_path)).toPandas()
+    n = {k: set(g.n) for k, g in got.groupby("key")}
+    want = {k: sum(b - a for _, a, b in fo.walk(m)) for k, m in (("long", 500), ("short", 70))}
+    assert n == {"long": {want["long"]}, "short": {want["short"]}, "none": {0}} and want["short"] > 0
+    assert len(got[got.key == "long"]) == 7 and got[got.key == "none"].error.tolist() == ["too short"]
