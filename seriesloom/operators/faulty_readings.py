@@ -1,9 +1,11 @@
 """Implausible readings: spikes, stuck values and impossible values, judged series by series.
 
-Method: an undecimated Wavelet (Haar) decomposition of each series. Its first detail level, scaled
-robustly by the median of its non-zero magnitudes, is thresholded: a spike leaves two large details of
-opposite sign one to three places apart. Candidates then pass the exact definition. Runs of zero
-details are runs of equal values and reveal sticking; bounds by unit detect impossible readings.
+Method: an undecimated wavelet decomposition of each series into details of several scales. The wavelet of
+scale w weighs w readings against the two beside them (1/w on each of the w, -1/2 on either neighbour), so a
+spike of w readings shows in full at scale w and hardly at others. The details of each scale, over the robust
+scale of the series (the median of its non-zero first differences), are thresholded; candidates of a scale then
+pass the exact definition for that width. Runs of zero Haar details are runs of equal values and reveal sticking;
+bounds by unit detect impossible readings.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from seriesloom.operators.series_stream import Block, map_series, series_rows
 
 LOG_UNITS = ("index", "level", "fx")
-SPIKE_MOVES, SETTLED_MOVES, SPIKE_WIDTH = 12.0, 9.0, 3
+SPIKE_MOVES, SETTLED_MOVES = 12.0, 9.0
+#: Scales of the decomposition: widths of spikes, in readings.
+SCALES = (1, 2, 3)
 STUCK_LEAST, STUCK_TIMES = 8, 3
 #: Relative slack of comparisons, far below any difference of decimal readings.
 SLACK = 1e-9
@@ -45,6 +49,19 @@ def haar_details(sid: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d
 
 
+def spike_details(sid: np.ndarray, x: np.ndarray, width: int) -> np.ndarray:
+    """Details of one scale of the undecimated transform, at the first of ``width`` readings: their mean less that of
+    the readings beside them; NaN where the wavelet would leave its series."""
+    n = len(x)
+    d = np.full(n, np.nan)
+    if n < width + 2:
+        return d
+    total = np.lib.stride_tricks.sliding_window_view(x[1:-1], width).mean(1)  # a running sum would round in long series
+    inside = sid[width + 1 :] == sid[: n - width - 1]
+    d[1 : n - width] = np.where(inside, total - (x[: n - width - 1] + x[width + 1 :]) / 2, np.nan)
+    return d
+
+
 def distinct_readings(sid: np.ndarray, day: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of one date and value are one reading: index of each reading's first row, and each row's reading."""
     n = len(sid)
@@ -63,20 +80,17 @@ def distinct_readings(sid: np.ndarray, day: np.ndarray, value: np.ndarray) -> tu
     return heads[by_place], of_row
 
 
-def spikes(sid: np.ndarray, x: np.ndarray, count: int) -> np.ndarray:
-    """Mask of readings in spikes of one to three readings, from thresholded details and the exact check."""
-    n = len(x)
-    hit = np.zeros(n, bool)
-    d = haar_details(sid, x)
-    move = np.abs(d)
+def spikes(sid: np.ndarray, x: np.ndarray, count: int, scales: tuple[int, ...] = SCALES) -> np.ndarray:
+    """Mask of readings in spikes, from thresholded details of each scale and the exact check of that width."""
+    hit = np.zeros(len(x), bool)
+    move = np.abs(haar_details(sid, x))
     real = move > 0
     typical = group_medians(sid[real], move[real], count)[sid]
     far, near = SPIKE_MOVES * typical * (1 - SLACK), SETTLED_MOVES * typical * (1 + SLACK)
-    with np.errstate(invalid="ignore"):
-        edge = np.flatnonzero(move >= far)  # thresholded details
-    for width in range(1, SPIKE_WIDTH + 1):
-        at = edge[edge + width < n]
-        at = at[sid[at + width] == sid[at]]
+    for width in scales:
+        d = spike_details(sid, x, width)
+        with np.errstate(invalid="ignore"):
+            at = np.flatnonzero(np.abs(d) >= far * (1 - SLACK))  # all readings lie beyond both, so their mean does
         base, after, sign = x[at - 1], x[at + width], np.sign(d[at])
         good = np.abs(after - base) <= near[at]
         for k in range(width):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.runtime import cut
+
 # Possessive quantifiers: no backtracking and no recursion, whatever the length of a line.
 FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 WELL_QUOTED = rf"\A{FIELD}(?:,{FIELD})*+\z"
@@ -26,13 +28,13 @@ def content(field: Column) -> Column:
     return F.btrim(F.when(field.startswith('"'), inner).otherwise(field), F.lit(" \t"))
 
 
-def split_lines(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_line") -> DataFrame:
-    """line_id, structural reason (null if sound), date_text and value_text of each line.
+def split_lines(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """line_id, the columns to keep, structural reason (null if sound), date_text and value_text of each line.
 
     A carriage return at the end is no part of a line; a null line counts as an empty one.
     """
     line = F.regexp_replace(F.coalesce(F.col(raw).cast("string"), F.lit("")), r"\r\z", "")
-    out = lines.select(F.col(line_id).alias("line_id"), line.alias("_line"))
+    out = lines.select(F.col(line_id).alias("line_id"), *keep, line.alias("_line"))
     reason = F.when(~F.col("_line").rlike(WELL_QUOTED), "quoting").when(~F.col("_line").rlike(TWO_FIELDS), "columns")
     out = out.withColumn("structure", reason)
     sound = F.col("structure").isNull()
@@ -53,19 +55,19 @@ def invalid_values(split: DataFrame) -> DataFrame:
     return texts.filter(bad).withColumn("reason", F.col("column"))
 
 
-def judged_lines(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_line") -> DataFrame:
-    """line_id, reason (null for a valid record), date_text, value_text: one row for each line.
+def judged_lines(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """line_id, the columns to keep, reason (null for a valid record), date_text, value_text: one row for each line.
 
     The first reason that applies of quoting, columns, date, value. Lines delivered twice stay two
-    rows. An empty table gives no rows.
+    rows. An empty table gives no rows. Lines are read and split once, whatever is made of them.
     """
-    split = split_lines(lines, line_id, raw)
-    book = invalid_values(split).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = split.withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int"))
+    out = split = cut(split_lines(lines, line_id, raw, keep))
+    book = cut(invalid_values(split)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = out.withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int"))
     for column in ("date", "value"):
         own = book.filter(F.col("column") == column).select("salt", F.col("text").alias(f"{column}_text"), F.col("reason").alias(f"{column}_reason"))
         out = out.join(own, ["salt", f"{column}_text"], "left")
-    return out.select("line_id", F.coalesce("structure", "date_reason", "value_reason").alias("reason"), "date_text", "value_text")
+    return out.select("line_id", *keep, F.coalesce("structure", "date_reason", "value_reason").alias("reason"), "date_text", "value_text")
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -86,6 +88,5 @@ def loaded_lines(lines: DataFrame) -> DataFrame:
 
 def rejection_report(lines: DataFrame) -> DataFrame:
     """Data lines and rejected ones by file and reason; files with null name are one file."""
-    d = data_lines(lines)
-    judged = d.select("line_id", "file_name").join(judged_lines(d).select("line_id", "reason"), "line_id")
+    judged = judged_lines(data_lines(lines), keep=("file_name",))
     return judged.groupBy("file_name", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n_lines"))

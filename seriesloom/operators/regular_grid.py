@@ -2,7 +2,8 @@
 
 Method: compact-kernel (Epanechnikov) weighted local linear regression, evaluated at the middle of each
 period from the readings that an index search finds within the bandwidth. Each row carries its effective
-support, and a mark where the support is too small for an estimate.
+support, and a mark where the support is too small for an estimate. A date counts once, with its latest
+revision, and faulty readings (see ``faulty_readings``) take no part in means and estimates unless asked for.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.faulty_readings import group_medians
+from seriesloom.operators.faulty_readings import group_medians, judge
 from seriesloom.operators.series_stream import Block, map_series, ranges, series_rows
 
 #: Nominal length in days of each timescale, shortest first.
@@ -25,7 +26,7 @@ BANDWIDTH, LEAST_SUPPORT = 2.5, 1.5
 #: Pairs of grid time and reading handled at once.
 PAIRS = 500_000
 
-SCHEMA = "key string, vintage int, period_start string, n_readings int, observed_mean double, value double, effective_support double, status string"
+SCHEMA = "key string, vintage int, period_start string, n_readings int, n_sound int, observed_mean double, value double, effective_support double, status string"
 
 
 def period_of(scale: int, day: np.ndarray) -> np.ndarray:
@@ -86,54 +87,84 @@ def local_linear(rsid: np.ndarray, rday: np.ndarray, rvalue: np.ndarray, gsid: n
     return value, support
 
 
-def _grid(b: Block) -> Iterator[pa.RecordBatch]:
-    if not len(b.sid):
-        return
-    scale = scales_of(b)
-    for k in range(len(SCALES)):
-        rows = np.flatnonzero(scale[b.sid] == k)
-        if not len(rows):
-            continue
-        sid, day, value = b.sid[rows], b.day[rows], b.value[rows]
-        period = period_of(k, day)
-        first = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-        last = np.r_[first[1:], len(sid)] - 1
-        count = period[last] - period[first] + 1
-        offset = np.cumsum(count) - count
-        which = np.repeat(np.arange(len(first)), count)
-        grid = np.repeat(period[first], count) + ranges(count)
-        cell = np.repeat(offset, np.diff(np.r_[first, len(sid)])) + period - np.repeat(period[first], np.diff(np.r_[first, len(sid)]))
-        n = np.bincount(cell, minlength=len(grid))
-        total = np.bincount(cell, value, len(grid))
-        start = start_of(k, grid)
-        middle = (start + start_of(k, grid + 1) - 1) / 2
-        est, support = local_linear(sid, day.astype(float), value, sid[first][which], middle, np.full(len(grid), BANDWIDTH * LENGTHS[SCALES[k]]))
-        enough = (support >= LEAST_SUPPORT) | (n > 0)
-        status = np.where(n > 0, 0, np.where(enough, 1, 2))
-        owner = pa.array(sid[first][which])
-        for i in range(0, len(grid), 50_000):
-            part = slice(i, i + 50_000)
-            ok = n[part] > 0
-            with np.errstate(all="ignore"):
-                mean = total[part] / n[part]
-            own = owner.slice(i, 50_000)
-            keys = b.key.take(own)
-            yield pa.RecordBatch.from_arrays(
-                [keys, b.vintage.take(own), pa.array(start[part].astype("M8[D]").astype(str), pa.string()), pa.array(n[part].astype("int32")), pa.array(mean, mask=~ok),
-                 pa.array(est[part], mask=~enough[part] | np.isnan(est[part])), pa.array(support[part]), pa.DictionaryArray.from_arrays(pa.array(status[part].astype("int8")), ["observed", "filled", "missing"]).cast(pa.string())],
-                ["key", "vintage", "period_start", "n_readings", "observed_mean", "value", "effective_support", "status"],
-            )
-
-
-def regular_grid(readings: DataFrame, vintages: DataFrame) -> DataFrame:
+def latest(b: Block) -> np.ndarray:
+    """Rows that are the latest revision of their date: loaded last, rows of unknown loading only where there is no other."""
+    n = len(b.sid)
+    if not n:
+        return np.empty(0, int)
+    order = np.lexsort((np.arange(n), ~b.undated, b.day, b.sid))
+    s, d = b.sid[order], b.day[order]
+    return order[np.r_[(s[1:] != s[:-1]) | (d[1:] != d[:-1]), True]]
+
+
+def grid_kernel(with_faulty: bool):
+    """The kernel over blocks of series."""
+
+    def run(b: Block) -> Iterator[pa.RecordBatch]:
+        if not len(b.sid):
+            return
+        scale, sound = scales_of(b), np.ones(len(b.sid), bool)
+        if not with_faulty:
+            sound = ~np.logical_or.reduce(judge(b))
+        # the latest sound revision of a date stands for it; a date without one counts only as a reading
+        kept, rows = latest(b), np.flatnonzero(sound)
+        part = latest(b.rows(rows))
+        best = np.full(len(b.sid), -1)
+        place = np.cumsum(np.r_[True, (b.sid[1:] != b.sid[:-1]) | (b.day[1:] != b.day[:-1])][: len(b.sid)]) - 1
+        best[place[rows[part]]] = rows[part]
+        own = best[place[kept]]
+        good = own >= 0
+        for k in range(len(SCALES)):
+            at = np.flatnonzero(scale[b.sid[kept]] == k)
+            if len(at):
+                yield from grid_of(b, k, kept[at], b.value[np.maximum(own[at], 0)], good[at])
+
+    return run
+
+
+def grid_of(b: Block, k: int, rows: np.ndarray, value: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Grid rows of the series of one timescale: ``rows`` are its dates, ``value`` the sound values, where ``good``."""
+    sid, day = b.sid[rows], b.day[rows]
+    period = period_of(k, day)
+    first = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    size = np.diff(np.r_[first, len(sid)])
+    count = period[first + size - 1] - period[first] + 1
+    offset = np.cumsum(count) - count
+    which = np.repeat(np.arange(len(first)), count)
+    grid = np.repeat(period[first], count) + ranges(count)
+    cell = np.repeat(offset, size) + period - np.repeat(period[first], size)
+    n, m = np.bincount(cell, minlength=len(grid)), np.bincount(cell[good], minlength=len(grid))
+    total = np.bincount(cell[good], value[good], len(grid))
+    start = start_of(k, grid)
+    middle = (start + start_of(k, grid + 1) - 1) / 2
+    est, support = local_linear(sid[good], day[good].astype(float), value[good], sid[first][which], middle, np.full(len(grid), BANDWIDTH * LENGTHS[SCALES[k]]))
+    enough = (support >= LEAST_SUPPORT) | (m > 0)
+    status = np.where(m > 0, 0, np.where(enough, 1, 2))
+    owner = pa.array(sid[first][which])
+    for i in range(0, len(grid), 50_000):
+        part = slice(i, i + 50_000)
+        ok = m[part] > 0
+        with np.errstate(all="ignore"):
+            mean = total[part] / m[part]
+        own = owner.slice(i, 50_000)
+        yield pa.RecordBatch.from_arrays(
+            [b.key.take(own), b.vintage.take(own), pa.array(start[part].astype("M8[D]").astype(str), pa.string()), pa.array(n[part].astype("int32")), pa.array(m[part].astype("int32")), pa.array(mean, mask=~ok),
+             pa.array(est[part], mask=~enough[part] | np.isnan(est[part])), pa.array(support[part]), pa.DictionaryArray.from_arrays(pa.array(status[part].astype("int8")), ["observed", "filled", "missing"]).cast(pa.string())],
+            ["key", "vintage", "period_start", "n_readings", "n_sound", "observed_mean", "value", "effective_support", "status"],
+        )
+
+
+def regular_grid(readings: DataFrame, vintages: DataFrame, with_faulty: bool = False) -> DataFrame:
     """One row for each period from a series' first to its last reading with date and value.
 
-    ``status`` is observed (the period has readings), filled (estimated from nearby readings) or
-    missing (too little effective support; ``value`` is null). Where timescale is null or unknown, the
-    one nearest to the median distance of the distinct dates is taken (the shorter at a tie); a series
-    with no timescale and a single date gives no rows. Null keys and vintages form series of their own.
+    ``n_readings`` counts dates with a reading, faulty ones included, and ``n_sound`` those with a sound one (with
+    ``with_faulty`` every reading is sound). A date's value is its latest sound revision (by loaded_at; unknown times
+    come first). ``status`` is observed (the period has sound readings), filled (estimated from nearby ones) or missing
+    (too little effective support; ``value`` is null). Where timescale is null or unknown, the one nearest to the
+    median distance of the distinct dates is taken (the shorter at a tie); a series with no timescale and a single date
+    gives no rows. Null keys and vintages form series of their own.
     """
-    out = map_series(series_rows(readings, vintages), _grid, SCHEMA)
+    out = map_series(series_rows(readings, vintages), grid_kernel(with_faulty), SCHEMA)
     return out.withColumn("key", F.expr("nullif(key, '\u0000')")).withColumn("vintage", F.expr("nullif(vintage, -2147483648)"))
 
 

@@ -7,6 +7,7 @@ sort-merge join is needed. Workers see contiguous series and vectorise over many
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,8 +68,16 @@ class Block:
         self.sid = sid[own]
         self.obs = t["obs_id"].to_numpy()[own].astype("int64")
         self.value = t["value"].to_numpy()[own]
+        self.undated = t["loaded_at"].is_null().to_numpy()[own]
         self.day = pc.cast(t["date"], pa.int32()).to_numpy()[own].astype("int64")
 
+    def rows(self, at: np.ndarray) -> Block:
+        """The same block with some of its rows; series keep their numbers."""
+        out = copy.copy(self)
+        for name in ("sid", "obs", "value", "undated", "day"):
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
 
 def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Blocks of whole series from sorted batches; the last, perhaps unfinished series is carried over."""

@@ -4,7 +4,7 @@ from statistics import median
 
 import numpy as np
 
-from seriesloom.operators.faulty_readings import faulty_readings
+from seriesloom.operators.faulty_readings import faulty_readings, spike_details, spikes
 from seriesloom.operators.regular_grid import local_linear, missing_periods, regular_grid
 from seriesloom.runtime import table
 
@@ -156,3 +156,33 @@ def test_edge_cases(spark):
     empty = spark.createDataFrame([], READ), spark.createDataFrame([], VINT)
     assert faulty_readings(*empty).count() == 0 and regular_grid(*empty).count() == 0
     assert faulty_readings(r, empty[1]).count() > 0
+
+
+def test_each_scale_finds_spikes_of_its_width():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400).cumsum()
+    at = {1: 50, 2: 150, 3: 250}
+    for w, i in at.items():
+        x[i : i + w] += 40 + 3 * rng.normal(size=w)
+    sid = np.zeros(400, int)
+    for w, i in at.items():
+        assert np.flatnonzero(spikes(sid, x, 1, (w,))).tolist() == list(range(i, i + w))
+    assert spikes(sid, x, 1).sum() == 6
+    flat = spike_details(np.repeat([0, 1], 5), np.repeat([1.0, 9.0], 5), 2)
+    assert np.nanmax(np.abs(flat)) == 0 and np.isnan(flat[[0, 3, 4, 5, 8, 9]]).all()  # no wavelet leaves its series
+
+
+def test_a_date_counts_once_with_its_latest_sound_revision(spark):
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(i)
+    early, late = dt.datetime(2001, 1, 1), dt.datetime(2001, 1, 2)
+    rows = [(i, None, "a", 1, i, day(i), 1.0 + i % 2 * 0.1, early, "x") for i in range(12)]
+    rows += [(20, None, "a", 1, 2, day(2), 1.0, early, "x"), (21, None, "a", 1, 3, day(3), 1.3, late, "x"), (22, None, "a", 1, 3, day(3), 1.7, None, "x"), (23, None, "a", 1, 6, day(6), -5.0, late, "x")]
+    rows = [r for r in rows if r[0] != 8] + [(24, None, "a", 1, 8, day(8), -1.0, late, "x")]  # the eighth day has only an impossible reading
+    r = spark.createDataFrame(rows, READ)
+    v = spark.createDataFrame([("s", "a", 1, "daily", "index", "q")], VINT)
+    got = {x.period_start: x for x in regular_grid(r, v).collect()}
+    cell = lambda i: got[str(day(i))]
+    assert [cell(i).n_readings for i in range(12)] == [1] * 12 and cell(8).n_sound == 0 and cell(8).status == "filled" and 0.9 < cell(8).value < 1.2
+    assert cell(2).observed_mean == 1.0 and cell(3).observed_mean == 1.3 and cell(6).observed_mean == 1.0
+    raw = {x.period_start: x for x in regular_grid(r, v, with_faulty=True).collect()}
+    assert raw[str(day(6))].observed_mean == -5.0 and raw[str(day(8))].status == "observed"

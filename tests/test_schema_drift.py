@@ -1,6 +1,6 @@
 import json
 
-from seriesloom.operators.schema_drift import aliases, changes, entry_values, file_order, lifespans, long_table, run_values, spans, unified
+from seriesloom.operators.schema_drift import MAX_COLUMNS, aliases, changes, column_names, file_order, lifespans, long_table, parsed, spans, unified
 from seriesloom.runtime import table
 
 COLS = "entry_id long, artifact string, lab string, file_no int, run string, body string, field string, type string"
@@ -77,8 +77,39 @@ def test_small_histories(spark):
     wide = unified(e)
     assert wide.count() == len(rows) and dict(wide.dtypes)["f_a"] == "double" and dict(wide.dtypes)["f_c"] == "string"
     assert {r.f_a for r in wide.filter("file_no = 3").collect()} == {1.0, 2.0, None}
-    cat = lifespans(run_values(entry_values(e)), file_order(e))
+    assert "12345678901234567890" in {r.f_big for r in wide.collect()} and dict(wide.dtypes)["f_big"] == "string"  # beyond 64 bits: kept as text
+    cat = lifespans(parsed(e), file_order(e))
     assert spans(cat).filter("field = 'c'").count() == 2
-    assert long_table(e).count() == entry_values(e).count()
     none = spark.createDataFrame([], COLS)
     assert changes(none).count() == 0 and unified(none).count() == 0
+
+
+def entries(spark, bodies, lab="l"):
+    return spark.createDataFrame([(i, "x", lab, no, f"r{r}", b, "f", "t") for i, (no, r, b) in enumerate(bodies)], COLS)
+
+
+def values(df):
+    """(entry, value) of every non-null cell of the wide table."""
+    return sorted((r.entry_id, str(v)) for r in df.collect() for c, v in r.asDict().items() if c.startswith("f_") and v is not None)
+
+
+def test_a_name_used_again_keeps_every_value(spark):
+    e = entries(spark, [(1, 0, '{"a": 1}'), (2, 0, '{"b": 1}'), (3, 0, '{"b": 1, "a": 77}'), (4, 0, '{"c": 1, "a": 77}'), (5, 0, '{"c": 1, "d": 77}'), (6, 0, '{"c": 1, "d": 77, "a": 5}')])
+    wide = unified(e)
+    assert values(wide) == [(0, "1"), (1, "1"), (2, "1"), (2, "77"), (3, "1"), (3, "77"), (4, "1"), (4, "77"), (5, "1"), (5, "5"), (5, "77")]
+    assert {c for c in wide.columns if c.startswith("f_")} == {"f_a", "f_a_g2", "f_a_g3"}
+    assert [r.f_a for r in wide.orderBy("entry_id").collect()] == [1] * 6
+
+
+def test_columns_of_like_names_stay_apart(spark):
+    e = entries(spark, [(1, 0, '{"estimates_k": 1, "estimates": {"k": 2}, "A": 3, "a": 4, "x": [1, 2.0], "y": "1", "z": 1}'), (1, 1, '{"z": "s", "y": "q\\"q"}')])
+    wide = unified(e)
+    assert values(wide.select("entry_id", *[c for c in wide.columns if c.startswith("f_")])) == sorted([(0, "1"), (0, "2"), (0, "3"), (0, "4"), (0, "[1,2]"), (0, "1"), (0, "1"), (1, "s"), (1, 'q"q')])
+    assert column_names([("a", 1), ("A", 1), ("a", 2)]) == ["f_a", "f_A_2", "f_a_g2"] and MAX_COLUMNS >= 2000
+
+
+def test_every_value_is_found_again(spark, sf_dir):
+    e = table(spark, sf_dir, "artifact_entries")
+    n = long_table(e).count()
+    wide = unified(e)
+    assert n == len(values(wide)) and wide.count() == e.count()
