@@ -1,10 +1,11 @@
 import random
 import unicodedata as ud
 
-from seriesloom.llm.same_look import HYPHENS, INVISIBLE, LOOK_ALIKE, build_tables, canonical, canonical_documents, canonical_segment, look_classes, same_look_pairs
+from seriesloom.llm.same_look import HYPHENS, INVISIBLE, LOOK_ALIKE, Look, canonical_documents, canonical_segment, confusable_letters, look_classes, prototypes, same_look_pairs, script
 from seriesloom.runtime import table
 
-TABLE = build_tables()[0]
+LOOK = Look(confusable_letters())
+TABLE, canonical = LOOK.table, LOOK.fold
 
 
 def whole(text):
@@ -29,7 +30,41 @@ def test_same_and_different():
     assert all(canonical(a) == canonical(b) for a, b in same)
     different = [("a", "A"), ("e", "é"), ("1", "l"), ("0", "O"), ("a.", "a"), ("a b", "a  b"), ("a\nb", "a b"), ("x²", "x2"), ("½", "1/2"), ("①", "1"), ("a-b", "a–b"), ("'", "’"), ("ı", "i"), ("c", "ç"), ("𝐀", "A")]
     assert all(canonical(a) != canonical(b) for a, b in different)
-    assert len(LOOK_ALIKE) < 200 and all(len(x) == 1 for x in LOOK_ALIKE) and len(set(HYPHENS)) == 6 and len(set(INVISIBLE)) == 13
+    assert len(set(HYPHENS)) == 6 and len(set(INVISIBLE)) == 13
+
+
+def test_letters_of_the_public_data():
+    letters = confusable_letters()
+    assert prototypes()[0].startswith("icu4j-") and letters.items() >= LOOK_ALIKE.items()
+    assert {script(c) for c in letters} > {"CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU"}
+    pairs = [(script(a), b) for a, b in letters.items() if a not in LOOK_ALIKE]
+    assert len(set(pairs)) == len(pairs)  # letters of one script stay apart
+    assert canonical("\u13aa\u13b3\u13d9") == "AWV"[:2] + canonical("\u13d9") and letters["\ua4d0"] == "B"
+    assert Look(LOOK_ALIKE).fold("\ua4d0\u13aa") != "BA" and canonical("\ua4d0\u13aa") == "BA"  # the data changes the result
+
+
+def test_words_keep_their_script(spark, sf_dir):
+    rows = table(spark, sf_dir.replace("0.001", "0.01"), "documents").select("text", "lang").collect()
+    ru = [r.text for r in rows if r.text and (r.lang or "").lower().startswith("ru")]
+    for t in ru:
+        c = LOOK.canonical(t)
+        assert LOOK.fold(c) == LOOK.fold(t) and LOOK.canonical(c) == c
+        for w in c.split():
+            seen = {script(x) for x in w if x.isalpha()}
+            assert not ({"LATIN", "CYRILLIC"} <= seen) or not any(x in w for x in "дйлнпцшщыэюя")
+    assert LOOK.canonical("Среднее и ряд: осе, а сор") == "Среднее и ряд: осе, а сор"
+    assert LOOK.canonical("Cpeднee и pяд: oce, a cop") == "Среднее и ряд: осе, а сор"  # look-alikes of Latin in Russian words
+    assert LOOK.canonical("thе сору of a series дня") == "the copy of a series дня"
+    assert LOOK.canonical("ёлка, моё") == "ёлка, моё" and LOOK.canonical("Ενα νέο όνομα") == "Ενα νέο όνομα"
+    rng = random.Random(5)
+    pool = "aeocpxy dbfg" + "аеосрху дблж" + "οαν λδ" + "\u0301\u0308ёéй "
+    by: dict[str, set] = {}
+    for _ in range(4000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))
+        c = LOOK.canonical(t)
+        assert LOOK.fold(c) == LOOK.fold(t), ascii(t)
+        by.setdefault(LOOK.fold(t), set()).add(c)
+    assert all(len(x) == 1 for x in by.values())  # equal looks are equal strings
 
 
 def test_pairs_and_edges(spark):
