@@ -1,11 +1,12 @@
 """A sample whose shares of categories follow given targets and keep a minimum of small ones.
 
-Method: the cube method. Flight phases on category indicators run per partition: undecided records of
-one combination of categories differ by a kernel vector (1, -1) of the balancing constraints, so a
-martingale step along it decides one of the two and keeps every category's sum; all pairs of a round
-step at once. Records that stay unresolved merge upward; at the top the flight goes on along general
-kernel vectors across combinations, and the landing phase drops constraints one by one. The residual
-imbalance is reported.
+Method: the cube method. Inclusion probabilities are first solved so that every category's sum is what is
+wanted of it, also where records have several categories. Flight phases on category indicators run per
+partition: undecided records of one combination of categories differ by a kernel vector (1, -1) of the balancing
+constraints, so a martingale step along it decides one of the two and keeps every category's sum (all pairs of a
+round step at once); what is left goes on along general kernel vectors across combinations. Records that stay
+unresolved merge upward; at the top the landing phase drops constraints one by one. The residual imbalance is
+reported.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.runtime import cut
+from seriesloom.runtime import cut, is_small
 
-#: Most target rows that are read on the driver; partitions whose rests merge in one step.
-MAX_TARGETS, MERGE = 10_000, 64
+#: Partitions whose rests merge in one step; most rounds of solving the probabilities.
+MERGE, ROUNDS = 64, 500
 EPS = 1e-9
 
 
@@ -75,6 +77,42 @@ def flight(group: np.ndarray, pi: np.ndarray, h: np.ndarray) -> np.ndarray:
     return pi
 
 
+def scaled(n: np.ndarray, x: np.ndarray, want: float) -> np.ndarray:
+    """x times one factor, at most 1, so that the sum over n records each is ``want`` (or as near as 0 and 1 allow)."""
+    if want <= 0:
+        return np.zeros(len(x))
+    if want >= n.sum() or not (x > 0).any():
+        return np.full(len(x), min(1.0, want / n.sum()))
+    full = np.zeros(len(x), bool)
+    while True:
+        base = (n * x)[~full].sum()
+        f = (want - n[full].sum()) / base if base > 0 else 1.0
+        more = ~full & (f * x >= 1)
+        if not more.any():
+            return np.where(full, 1.0, np.minimum(f * x, 1.0))
+        full |= more
+
+
+def probabilities(n: np.ndarray, member: np.ndarray, take: np.ndarray, avail: np.ndarray) -> np.ndarray:
+    """Inclusion probability of each combination of categories, so that every category's expected number is ``take``.
+
+    Categories that need all their records (take = avail) get them; the rest is scaled category by category until all
+    sums hold. Where they can't all hold, the last round's values stand and the report shows the residual.
+    """
+    if not (member.sum(1) > 1).any():
+        return (member * (take / avail)).sum(1)
+    whole = member[:, take >= avail].any(1)
+    x = np.where(whole, 1.0, (member * (take / avail)).max(1))
+    for _ in range(ROUNDS):
+        for c in range(member.shape[1]):
+            own = member[:, c] & ~whole
+            if own.any():
+                x[own] = scaled(n[own], x[own], take[c] - n[member[:, c] & whole].sum())
+        if np.abs(n * x @ member - take).max() < 1e-10 * max(1.0, take.max()):
+            break
+    return x
+
+
 def kernel_vector(a: np.ndarray) -> np.ndarray | None:
     """A vector v with a @ v = 0, or None."""
     if a.shape[1] <= a.shape[0] and np.linalg.matrix_rank(a) == a.shape[1]:
@@ -82,7 +120,7 @@ def kernel_vector(a: np.ndarray) -> np.ndarray | None:
     return np.linalg.svd(a)[2][-1] if a.shape[0] else np.eye(a.shape[1])[0]
 
 
-def land(pi: np.ndarray, member: np.ndarray, u: np.random.Generator) -> np.ndarray:
+def land(pi: np.ndarray, member: np.ndarray, u: np.random.Generator, landing: bool = True) -> np.ndarray:
     """General flight over units x categories, then the landing: constraints are dropped from the last one on."""
     pi = np.where(pi < EPS, 0.0, np.where(pi > 1 - EPS, 1.0, pi)).astype(float)
     rows = member.shape[1]
@@ -93,6 +131,8 @@ def land(pi: np.ndarray, member: np.ndarray, u: np.random.Generator) -> np.ndarr
         few = open_[: rows + 1]
         v = kernel_vector(member[few][:, :rows].T.astype(float))
         if v is None:
+            if not landing:
+                return pi
             rows -= 1
             continue
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,28 +146,52 @@ UNIT = "scheme_id int, corpus_id int, key string, concepts array<string>, grp lo
 NAMES = ["scheme_id", "corpus_id", "key", "concepts", "grp", "h", "pi"]
 
 
+def across(t: pa.Table, pi: np.ndarray, landing: bool) -> np.ndarray:
+    """General flight of each scheme and corpus over its undecided records; with ``landing`` all are decided."""
+    pi = pi.copy()
+    rest = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
+    concepts = t["concepts"].take(pa.array(rest))
+    if not landing and not pc.any(pc.greater(pc.list_value_length(concepts), 1)).as_py():
+        return pi  # one record at most of each category: no kernel vector
+    concepts = concepts.to_pylist()
+    scheme, corpus = t["scheme_id"].to_numpy()[rest], t["corpus_id"].to_numpy()[rest]
+    order = np.lexsort((t["h"].to_numpy()[rest], corpus, scheme))
+    ends = np.flatnonzero(np.r_[(scheme[order][1:] != scheme[order][:-1]) | (corpus[order][1:] != corpus[order][:-1]), True][: len(rest)]) + 1
+    first = 0
+    for end in ends:
+        part = order[first:end]
+        own, rows = rest[part], [concepts[i] for i in part]
+        weight = Counter(c for row in rows for c in row)
+        names = sorted(weight, key=lambda c: (weight[c], c))  # scarce categories keep their constraint longest
+        member = np.array([[c in row for c in names] for row in rows])
+        pi[own] = land(pi[own], member, np.random.default_rng(abs(t["h"][int(own[0])].as_py())), landing)
+        first = end
+    return pi
+
+
 def _flight_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flight over a partition: batches that decide all but one record a group; those are carried on."""
-    carried: list[pa.RecordBatch] = []
+    """Flight over a partition: batches that decide all but one record a combination, which are carried on; then the
+    flight across combinations."""
 
-    def fly(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    def fly(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
         pi = flight(t["grp"].to_numpy(), t["pi"].to_numpy(), t["h"].to_numpy())
+        if last:
+            pi = across(t, pi, False)
         t = t.set_column(6, "pi", pa.array(pi))
         decided = pa.array((pi <= EPS) | (pi >= 1 - EPS))
         return t.filter(decided), t.filter(pc.invert(decided))
 
-    held, rows, rest = [], 0, None
+    held, rows = [], 0
     for b in batches:
         held.append(b)
         rows += len(b)
         if rows >= 200_000:
-            done, rest = fly(pa.Table.from_batches(held))
+            done, rest = fly(pa.Table.from_batches(held), False)
             yield from done.to_batches()
             held, rows = rest.to_batches(), len(rest)
     if rows:
-        done, rest = fly(pa.Table.from_batches(held))
-        yield from done.to_batches()
-        yield from rest.to_batches()
+        for t in fly(pa.Table.from_batches(held), True):
+            yield from t.to_batches()
 
 
 def _land_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,31 +201,16 @@ def _land_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     if not held:
         return
     t = pa.Table.from_batches(held).sort_by([("scheme_id", "ascending"), ("corpus_id", "ascending"), ("grp", "ascending"), ("h", "ascending"), ("key", "ascending")])
-    pi = flight(t["grp"].to_numpy(), t["pi"].to_numpy(), t["h"].to_numpy())
-    rest = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
-    scheme, corpus = t["scheme_id"].to_numpy()[rest], t["corpus_id"].to_numpy()[rest]
-    ends = np.flatnonzero(np.r_[(scheme[1:] != scheme[:-1]) | (corpus[1:] != corpus[:-1]), True][: len(rest)]) + 1
-    concepts = t["concepts"].take(pa.array(rest)).to_pylist()
-    first = 0
-    for end in ends:
-        own, rows = rest[first:end], concepts[first:end]
-        weight = Counter(c for row in rows for c in row)
-        names = sorted(weight, key=lambda c: (weight[c], c))  # scarce categories keep their constraint longest
-        member = np.array([[c in row for c in names] for row in rows])
-        pi[own] = land(pi[own], member, np.random.default_rng(abs(t["h"][int(own[0])].as_py())))
-        first = end
+    pi = across(t, flight(t["grp"].to_numpy(), t["pi"].to_numpy(), t["h"].to_numpy()), True)
     yield from t.set_column(6, "pi", pa.array(np.round(pi))).to_batches()
 
 
-def targets_of(targets: DataFrame) -> list:
-    """Target rows on the driver, bounded; without concept or scheme they are left out, and null numbers count as 0."""
-    rows = targets.filter("scheme_id is not null and concept is not null").select(
-        F.col("scheme_id").cast("int"), "concept", F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"),
-        F.coalesce(F.col("min_keep").cast("long"), F.lit(0)).alias("least"), F.coalesce(F.col("sample_fraction").cast("double"), F.lit(0.0)).alias("fraction"), clean(F.col("concept")).alias("name"),
-    ).limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} target rows")
-    return rows
+def cleaned_targets(targets: DataFrame) -> DataFrame:
+    """Targets without those that lack concept or scheme; null numbers count as 0."""
+    return targets.filter("scheme_id is not null and concept is not null").select(
+        F.col("scheme_id").cast("int").alias("scheme_id"), "concept", clean(F.col("concept")).alias("name"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("target_share"),
+        F.coalesce(F.col("min_keep").cast("long"), F.lit(0)).alias("least"), F.coalesce(F.col("sample_fraction").cast("double"), F.lit(0.0)).alias("fraction"),
+    )
 
 
 def members(labels: DataFrame) -> DataFrame:
@@ -169,35 +218,60 @@ def members(labels: DataFrame) -> DataFrame:
     return labels.filter("corpus_id is not null and key is not null").select(F.col("corpus_id").cast("int").alias("corpus_id"), "key", clean(F.col("indicator")).alias("i"), concept_of(F.col("indicator"), F.col("source")).alias("concept")).filter("i is not null").select("corpus_id", "key", "concept").distinct()
 
 
-def demand(labels: DataFrame, member: DataFrame, rows: list) -> DataFrame:
-    """scheme_id, corpus_id, concept, name, target_share, wanted, n_avail, n_take of each scheme, corpus and concept."""
+def demand(labels: DataFrame, member: DataFrame, targets: DataFrame) -> DataFrame:
+    """scheme_id, corpus_id, concept, name, target_share, wanted, n_avail, n_take of each scheme, corpus and concept.
+
+    Every corpus answers every scheme: that is the size of the report. Scheme ids are read on the driver; targets join
+    by scheme, broadcast if they are few.
+    """
     per_key = member.select("corpus_id", "key").distinct().groupBy("corpus_id").agg(F.count("*").alias("n_keys"))
     corpora = labels.filter("corpus_id is not null").select(F.col("corpus_id").cast("int").alias("corpus_id")).distinct().join(per_key, "corpus_id", "left").withColumn("n_keys", F.coalesce("n_keys", F.lit(0)))
-    each = F.array(*[F.struct(F.lit(r.scheme_id).alias("scheme_id"), F.lit(r.concept).alias("concept"), F.lit(r.name).alias("name"), F.lit(float(r.share)).alias("target_share"), F.lit(int(r.least)).cast("long").alias("least"), F.lit(float(r.fraction)).alias("fraction")) for r in rows])
-    want = corpora.withColumn("t", F.explode(each)).select("corpus_id", "n_keys", "t.*")
+    targets = cleaned_targets(targets)
+    schemes = sorted(r.scheme_id for r in targets.select("scheme_id").distinct().collect())
+    each = F.explode(F.array(*[F.lit(x) for x in schemes]).cast("array<int>"))
+    want = corpora.withColumn("scheme_id", each).join(F.broadcast(targets) if is_small(targets) else targets, "scheme_id")
     want = want.withColumn("wanted", F.greatest(F.col("least").cast("double"), F.col("target_share") * F.col("fraction") * F.col("n_keys")))
     avail = member.filter("concept is not null").groupBy("corpus_id", F.col("concept").alias("name")).agg(F.count("*").alias("n_avail"))
     out = want.join(avail, ["corpus_id", "name"], "left").withColumn("n_avail", F.coalesce("n_avail", F.lit(0)))
     return out.withColumn("n_take", F.least("n_avail", F.ceil(F.col("wanted") - EPS)))
 
 
+def solved(units: DataFrame) -> DataFrame:
+    """scheme_id, corpus_id, grp, pi: the probability of each combination of categories of a corpus (counts only: one
+    row for each combination)."""
+    combos = units.groupBy("scheme_id", "corpus_id", "grp").agg(F.count("*").alias("n"), F.first("wants").alias("wants"))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        wants = [[(w["name"], w["n_take"], w["n_avail"]) for w in ws] for ws in df.wants]
+        known = {name: (take, avail) for ws in wants for name, take, avail in ws}
+        names = sorted(known)
+        member = np.array([[c in {w[0] for w in ws} for c in names] for ws in wants])
+        take, avail = (np.array([known[c][k] for c in names], float) for k in (0, 1))
+        return df[["scheme_id", "corpus_id", "grp"]].assign(pi=probabilities(df.n.to_numpy(float), member, take, avail))
+
+    return combos.groupBy("scheme_id", "corpus_id").applyInPandas(run, "scheme_id int, corpus_id int, grp long, pi double")
+
+
 def draw(labels: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The sample (scheme_id, corpus_id, key) and the demand it answers.
 
-    A unit is a distinct key of a corpus, with every concept it has. Its inclusion probability is the
-    largest that one of its concepts asks for. Concepts with too few keys are taken whole. The same
-    partitioning and seed give the same sample.
+    A unit is a distinct key of a corpus, with every concept it has; probabilities add up to what is wanted of each
+    concept. Concepts with too few keys are taken whole. The same partitioning and seed give the same sample. Without
+    labels or targets the sample is empty.
     """
-    rows = targets_of(targets)
     member = cut(members(labels))
-    want = cut(demand(labels, member, rows)) if rows else None
-    if want is None:
-        empty = labels.sparkSession.createDataFrame([], UNIT)
-        return empty.select("scheme_id", "corpus_id", "key"), labels.sparkSession.createDataFrame([], "corpus_id int, name string, n_keys long, scheme_id int, concept string, target_share double, least long, fraction double, wanted double, n_avail long, n_take long")
-    prob = want.filter("n_take > 0").select("scheme_id", "corpus_id", "name", (F.col("n_take") / F.col("n_avail")).alias("p"))
-    units = member.withColumnRenamed("concept", "name").join(prob, ["corpus_id", "name"])
-    units = units.groupBy("scheme_id", "corpus_id", "key").agg(F.array_sort(F.collect_set("name")).alias("concepts"), F.max("p").alias("pi"))
-    units = units.withColumn("grp", F.xxhash64("scheme_id", "corpus_id", F.array_join("concepts", "\u0001"))).withColumn("h", F.xxhash64(F.lit(seed), "scheme_id", "corpus_id", "key")).select(*NAMES)
+    want = cut(demand(labels, member, targets))
+    asked = want.filter("n_take > 0").groupBy("scheme_id", "corpus_id", "name").agg(F.max("n_take").alias("n_take"), F.max("n_avail").alias("n_avail"))
+    units = member.withColumnRenamed("concept", "name").join(asked, ["corpus_id", "name"])
+    units = units.groupBy("scheme_id", "corpus_id", "key").agg(F.array_sort(F.collect_set(F.struct("name", "n_take", "n_avail"))).alias("wants"))
+    units = units.withColumn("concepts", F.transform("wants", lambda w: w["name"])).withColumn("grp", F.xxhash64("scheme_id", "corpus_id", F.array_join("concepts", "\u0001")))
+    several = not units.filter(F.size("wants") > 1).isEmpty()
+    if several:
+        units = cut(units)
+        units = units.join(solved(units), ["scheme_id", "corpus_id", "grp"])
+    else:
+        units = units.withColumn("pi", F.col("wants")[0]["n_take"] / F.col("wants")[0]["n_avail"])
+    units = units.withColumn("h", F.xxhash64(F.lit(seed), "scheme_id", "corpus_id", "key")).select(*NAMES)
     level = cut(units.mapInArrow(_flight_partition, UNIT))
     decided = [level.filter(f"pi >= 1 - {EPS}")]
     loose, parts = level.filter(f"pi > {EPS} and pi < 1 - {EPS}"), level.rdd.getNumPartitions()

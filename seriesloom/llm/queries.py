@@ -62,16 +62,54 @@ def queries():
     return {f.__name__: f for f in (p3_found, p3_report, p3_sample, p6_found, p6_packed, p6_report, p7_found, p7_report, p7_mixture, p8_found, p8_classes, p8_canonical)}
 
 
-def oracle_sql():
-    return {
-        "p3_found": """
-with m as (select distinct corpus_id, key, lower(trim(indicator, chr(9) || chr(10) || chr(13) || ' ')) as i, lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) as s
-           from series_labels where corpus_id is not null and key is not null and trim(indicator, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+_CLEAN = "lower(trim({}, chr(9) || chr(10) || chr(13) || ' '))"
+_DEMAND = f"""
+with m as (select distinct corpus_id, key, {_CLEAN.format("indicator")} as i, {_CLEAN.format("source")} as s from series_labels where corpus_id is not null and key is not null and {_CLEAN.format("indicator")} <> ''),
 c as (select distinct corpus_id, key, case when i = 'other' then s || '-other' else i end as name from m),
 n as (select corpus_id, count(distinct key) as n from c group by all),
-a as (select corpus_id, name, count(distinct key) as k from c group by all)
-select scheme_id, p.corpus_id, concept
-from sample_targets t, (select distinct corpus_id from series_labels where corpus_id is not null) p
-where coalesce((select k from a where a.corpus_id = p.corpus_id and a.name = lower(trim(t.concept))), 0)
-      < greatest(min_keep, target_share * sample_fraction * coalesce((select n from n where n.corpus_id = p.corpus_id), 0)) - 1e-9""",
+a as (select corpus_id, name, count(distinct key) as k from c where name is not null group by all),
+w as (select scheme_id, p.corpus_id, concept, coalesce(target_share, 0) as target_share, coalesce(k, 0) as n_avail, greatest(coalesce(min_keep, 0)::double, coalesce(target_share * sample_fraction, 0) * coalesce(n.n, 0)) as wanted
+      from sample_targets t cross join (select distinct corpus_id from series_labels where corpus_id is not null) p left join n on n.corpus_id = p.corpus_id left join a on a.corpus_id = p.corpus_id and a.name = {_CLEAN.format("t.concept")}),
+r as (select corpus_id, {_CLEAN.format("concept")} as name, max(n_avail)::int as n_reported from per_concept_matched_n group by all)
+"""
+
+# Sizes by letters in place of tokens: the cases are decided by far, whatever the tokenizer.
+_SIZED = f"with d as (select doc_id, {_CLEAN.format('source')} as src, strlen(text) / 3.3 as n from documents)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _looks() -> str:
+    """SQL that folds whole texts: a translation of single characters, then normalization; no segments, no context."""
+    look = sl.Look(sl.confusable_letters())
+    one, gone, many = {}, "", {}
+    for cp in (*range(1, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE01F0)):
+        c = chr(cp)
+        new = look.fold(c)
+        if new == "":
+            gone += c
+        elif len(new) > 1:
+            many[c] = new
+        elif new != c and c != "\r":
+            one[c] = new
+    text = f"translate(replace(text, chr(13) || chr(10), chr(10)), {_quoted(''.join(one) + gone)}, {_quoted(''.join(one.values()))})"
+    for a, b in many.items():
+        text = f"replace({text}, {_quoted(a)}, {_quoted(b)})"
+    return f"with c as (select doc_id, text, nfc_normalize({text}) as look from documents where text is not null)"
+
+
+def oracle_sql():
+    looks = _looks()
+    return {
+        "p3_found": _DEMAND + "select scheme_id, corpus_id, concept from w where n_avail < wanted - 1e-9",
+        # categories are disjoint in these tables and wanted numbers whole, so a balanced sample takes exactly them
+        "p3_report": _DEMAND + f"""select scheme_id, w.corpus_id, concept, target_share, wanted, n_avail, n_reported, least(n_avail, ceil(wanted - 1e-9))::bigint as n_take, least(n_avail, ceil(wanted - 1e-9))::bigint as n_selected, 0::bigint as residual, n_avail < wanted - 1e-9 as too_few
+from w left join r on r.corpus_id = w.corpus_id and r.name = {_CLEAN.format("w.concept")}""",
+        "p6_found": _SIZED + " select spec_id, doc_id from d, container_specs where n > capacity_tokens",
+        "p7_found": _SIZED + f""", s as (select src, sum(n) as n from d group by src) select mix_id, source from mix_targets t left join s on s.src = {_CLEAN.format('t.source')}
+where target_share * total_share * (select sum(n) from d) > max_repeats * coalesce(s.n, 0)""",
+        "p8_found": looks + " select a.doc_id as doc_id_a, b.doc_id as doc_id_b from c a join c b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id",
+        "p8_classes": looks + " select doc_id, min(doc_id) over (partition by look) as class_id, count(*) over (partition by look) - count(*) over (partition by look, text) as n_links from c",
     }
