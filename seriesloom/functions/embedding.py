@@ -40,29 +40,73 @@ def delay_vectors(x, tau, dim, offset=None):
     return np.asarray(x)[np.arange(max(n, 0))[:, None] + tau * np.arange(dim)]
 
 
-def false_neighbours(x, tau, max_dim=10, ratio=15.0, size=2.0, points=600):
-    """Share of false nearest neighbours for each dimension 1..max_dim, by both criteria."""
+def nearest_in_dims(x, n, tau, dims, block=512):
+    """For each dimension of ``dims`` (rising from 1): nearest other row of each of the n delay rows and its squared
+    distance, by blocks of rows whose squares grow from dimension to dimension."""
+    out = [(np.empty(n, int), np.empty(n)) for _ in dims]
+    for start in range(0, n, block):
+        rows = np.arange(start, min(start + block, n))
+        d2 = np.zeros((len(rows), n))
+        d2[np.arange(len(rows)), rows] = np.inf
+        for k, dim in enumerate(dims):
+            at = (dim - 1) * tau
+            d2 += np.square(x[rows + at][:, None] - x[at : at + n])
+            near = d2.argmin(1)
+            out[k][0][rows], out[k][1][rows] = near, d2[np.arange(len(rows)), near]
+    return out
+
+
+def false_neighbours(x, tau, max_dim=20, ratio=15.0, size=2.0):
+    """Share of false nearest neighbours for each dimension 1..max_dim, by both criteria, over one set of rows."""
     x = np.asarray(x, float)
     while max_dim > 1 and len(x) - max_dim * tau < 20:
         max_dim -= 1
     n = len(x) - max_dim * tau
     if n < 3:
         return np.ones(max_dim)
-    pick = np.unique(np.linspace(0, n - 1, min(n, points)).astype(int))
-    sd, out = x.std() + 1e-12, []
-    for dim in range(1, max_dim + 1):
-        v = x[np.arange(n)[:, None] + tau * np.arange(dim)]
-        d2 = ((v[pick][:, None] - v[None]) ** 2).sum(-1) if n * len(pick) * dim < 4e7 else (v[pick] ** 2).sum(1)[:, None] + (v**2).sum(1) - 2 * v[pick] @ v.T
-        d2[np.arange(len(pick)), pick] = np.inf
-        near = d2.argmin(1)
-        d = np.sqrt(np.maximum(d2[np.arange(len(pick)), near], 0))
+    sd, out, own = x.std() + 1e-12, [], np.arange(n)
+    for dim, (near, d2) in enumerate(nearest_in_dims(x, n, tau, range(1, max_dim + 1)), 1):
+        d = np.sqrt(d2)
         ok = d > 1e-6 * sd
-        grow = np.abs(x[pick + dim * tau] - x[near + dim * tau])
-        false = (grow > ratio * d) | (np.sqrt(d**2 + grow**2) > size * sd)
+        grow = np.abs(x[own + dim * tau] - x[near + dim * tau])
+        false = (grow > ratio * d) | (np.sqrt(d2 + grow**2) > size * sd)
         out.append(false[ok].mean() if ok.any() else 1.0)
     return np.array(out)
 
 
+def shrinking_false_neighbours(x, tau, max_dim=16, ratio=15.0, size=2.0):
+    """The same shares where each dimension uses all rows it has; dimensions with fewer than ten rows stay 1."""
+    x = np.asarray(x, float)
+    out, sd = np.ones(max_dim), x.std() + 1e-12
+    for dim in range(1, max_dim + 1):
+        n = len(x) - dim * tau
+        if n < 10:
+            break
+        near, d2 = nearest_in_dims(x, n, tau, range(1, dim + 1))[-1]
+        d = np.sqrt(d2)
+        ok = d > 1e-10
+        grow = np.abs(x[np.arange(n) + dim * tau] - x[near + dim * tau])
+        false = (grow > ratio * d) | (np.sqrt(d2 + grow**2) > size * sd)
+        out[dim - 1] = false[ok].mean() if ok.any() else 1.0
+    return out
+
+
+def plain_dimension(x, tau, below=0.01, ratio=15.0):
+    """First dimension of 2..8 whose share of false neighbours by growth alone is at most ``below``, else 8."""
+    x = np.asarray(x, float)
+    for dim in range(2, 9):
+        n = len(x) - dim * tau
+        if n < 10:
+            return dim
+        near, d2 = nearest_in_dims(x, n, tau, range(1, dim + 1))[-1]
+        d = np.sqrt(d2)
+        ok = d > 1e-12
+        grow = np.abs(x[np.arange(n) + dim * tau] - x[near + dim * tau])
+        if not ok.any() or (grow[ok] / d[ok] > ratio).mean() <= below:
+            return dim
+    return 8
+
+
 def first_dimension(false, below=0.01, lo=2, hi=10, fallback=3):
     hit = np.flatnonzero(np.asarray(false) < below)
     return int(np.clip(hit[0] + 1, lo, hi)) if len(hit) else fallback
@@ -74,7 +118,7 @@ def row_standard(v, eps=1e-8):
     return np.where(sd < eps, 0.0, (v - v.mean(1, keepdims=True)) / np.where(sd < eps, 1.0, sd))
 
 
-def embed(x, max_lag=50, max_dim=10):
+def embed(x, max_lag=50, max_dim=20):
     """tau, dim and the row-standardised delay cloud of a series of at least 50 values."""
     if len(x) < 50:
         raise ValueError("a series needs at least 50 values")
@@ -86,13 +130,20 @@ def embed(x, max_lag=50, max_dim=10):
     return tau, dim, row_standard(delay_vectors(x, tau, dim))
 
 
-def neighbour_ratio(x, tau, dim):
-    """Mean growth of the distance to the nearest neighbour from dim to dim + 1 (Chebyshev)."""
+def neighbour_ratio(x, tau, dim, block=512):
+    """Mean growth of the distance to the nearest neighbour from dim to dim + 1 (Chebyshev), by blocks of rows."""
     n = len(x) - dim * tau
     v, w = delay_vectors(x, tau, dim, dim * tau)[:n], delay_vectors(x, tau, dim + 1, dim * tau)[:n]
-    d = np.abs(v[:, None] - v[None]).max(-1)
-    np.fill_diagonal(d, np.inf)
-    near = d.argmin(1)
-    base = d[np.arange(n), near]
-    ok = base > 1e-12
-    return float((np.abs(w - w[near]).max(1)[ok] / base[ok]).mean())
+    total = count = 0
+    for start in range(0, n, block):
+        rows = np.arange(start, min(start + block, n))
+        d = np.zeros((len(rows), n))
+        for k in range(dim):
+            np.maximum(d, np.abs(v[rows, k][:, None] - v[:, k]), out=d)
+        d[np.arange(len(rows)), rows] = np.inf
+        near = d.argmin(1)
+        base = d[np.arange(len(rows)), near]
+        ok = base > 1e-12
+        total += (np.abs(w[rows] - w[near]).max(1)[ok] / base[ok]).sum()
+        count += ok.sum()
+    return float(total / count) if count else float("nan")

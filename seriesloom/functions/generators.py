@@ -40,27 +40,52 @@ def recursion(step, x, n, burn=200):
     return np.array(out)
 
 
+def euler(f, state, dt, steps, drop=2000):
+    """First coordinate along explicit steps of a flow, without the first ``drop``."""
+    out = np.empty(steps)
+    for i in range(-drop, steps):
+        state = [s + dt * v for s, v in zip(state, f(*state))]
+        if i >= 0:
+            out[i] = state[0]
+    return out
+
+
+def lorenz_flow(sigma, rho, beta=8 / 3):
+    return lambda x, y, z: (sigma * (y - x), x * (rho - z) - y, x * y - beta * z)
+
+
+def rossler_flow(a, b, c):
+    return lambda x, y, z: (-y - z, x + a * y, b + z * (x - c))
+
+
+# The twelve families with delay and dimension of their embedding.
+FAMILIES = {
+    "lorenz_sigma10": (8, 3), "lorenz_sigma14": (8, 3), "rossler_chaotic": (12, 3), "rossler_near_periodic": (12, 3), "henon": (1, 2), "logistic_r37": (1, 2),
+    "logistic_r399": (1, 2), "ar1_phi05": (4, 5), "ar1_phi095": (4, 5), "random_walk": (4, 5), "white_noise": (4, 5), "torus_2d": (6, 3),
+}
+
+
 def family(name, n, seed):
-    """A scalar series of a named family; the same seed gives the same series."""
+    """A scalar series of a family; the same seed gives the same series."""
     rng = np.random.default_rng(seed)
-    if name == "lorenz":
-        return lorenz(n, rng)[:, 0]
-    if name == "rossler":
-        return rossler(n, rng)[:, 0]
-    if name == "torus":
-        return torus(n, rng)[:, 0] + 0.05 * rng.normal(size=n)
+    near = lambda *at, by=0.1: [a + by * e for a, e in zip(at, rng.normal(size=len(at)))]
+    if name.startswith("lorenz"):
+        return euler(lorenz_flow(float(name[-2:]), 28.0), near(1.0, 1.0, 1.0), 0.01, n)
+    if name.startswith("rossler"):
+        return euler(rossler_flow(0.2, 0.2, 5.7) if name.endswith("chaotic") else rossler_flow(0.1, 0.1, 4.0), near(1.0, 1.0, 0.0), 0.05, n)
     if name == "henon":
-        return recursion(lambda s: (1 - 1.4 * s[0] ** 2 + s[1], 0.3 * s[0]), (0.1 + 0.01 * rng.random(), 0.1), n)
-    if name == "logistic":
-        return recursion(lambda x: 3.9 * x * (1 - x), 0.1 + 0.8 * rng.random(), n)
-    e = rng.normal(size=n)
-    if name == "autoregression":
-        return recursion_linear(e, 0.9)
-    if name == "reverting":
-        return recursion_linear(e * 0.1, 0.98)
+        return recursion(lambda s: (1 - 1.4 * s[0] ** 2 + s[1], 0.3 * s[0]), tuple(near(0.1, 0.1, by=0.05)), n, 1000)
+    if name.startswith("logistic"):
+        r = 3.7 if name.endswith("r37") else 3.99
+        return recursion(lambda x: r * x * (1 - x), float(np.clip(near(0.4, by=0.05)[0], 0.01, 0.99)), n, 1000)
+    if name.startswith("ar1"):
+        return recursion_linear(rng.normal(size=n + 500), 0.5 if name.endswith("phi05") else 0.95)[500:]
     if name == "random_walk":
-        return np.cumsum(e)
-    return e
+        return np.cumsum(rng.normal(size=n))
+    if name == "torus_2d":
+        t = np.arange(n) * 0.05
+        return np.cos(t) + np.cos(np.pi * t) + 0.01 * rng.normal(size=n)
+    return rng.normal(size=n)
 
 
 def recursion_linear(e, phi):
@@ -72,9 +97,6 @@ def recursion_linear(e, phi):
     return out
 
 
-FAMILIES = ["lorenz", "rossler", "torus", "henon", "logistic", "autoregression", "reverting", "random_walk", "noise"]
-
-
 def sphere(dim, ambient, n, rng):
     """Points of a dim-sphere in a random subspace."""
     p = rng.normal(size=(n, dim + 1))

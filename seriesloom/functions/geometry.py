@@ -1,7 +1,5 @@
 """Distances, diffusion maps, extensions, landmarks, curvature and dimension of point clouds (plain NumPy)."""
 
-import heapq
-
 import numpy as np
 
 
@@ -19,17 +17,18 @@ def signed(vectors):
     return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] + 1e-300)
 
 
-def diffusion_map(d, n=5, bandwidth="knn", k=10, alpha=1.0, theiler=0, zero_diagonal=False, matrix="symmetric"):
+def diffusion_map(d, n=5, bandwidth="knn", k=10, alpha=1.0, theiler=0, zero_diagonal=False, matrix="symmetric", late_window=False, keep_self=False):
     """Diffusion map of a distance matrix: (coordinates lambda*psi, eigenvalues, right vectors psi, sigma, q).
 
     bandwidth knn: exp(-d^2 / (s_i s_j)) with the k-th neighbour's distance; median: exp(-d^2 / 2 s^2) with
-    the median distance; a number: that width. ``theiler`` leaves out pairs near in time. ``matrix`` symmetric
-    uses D^-1/2 K D^-1/2, markov the symmetrised row-stochastic matrix. The trivial pair is dropped.
+    the median distance; a number: that width. ``theiler`` leaves out pairs near in time (from the kernel only if
+    ``late_window``; ``keep_self`` keeps the diagonal). ``matrix`` symmetric uses D^-1/2 K D^-1/2, markov the
+    symmetrised row-stochastic matrix, lower its lower triangle alone. The trivial pair is dropped.
     """
     size = len(d)
     d = d.copy()
-    if theiler:
-        near = np.abs(np.subtract.outer(np.arange(size), np.arange(size))) <= theiler
+    near = np.abs(np.subtract.outer(np.arange(size), np.arange(size))) <= theiler if theiler else None
+    if theiler and not late_window:
         d[near] = np.inf
     if bandwidth == "knn":
         sigma = np.maximum(np.partition(d, min(k, size - 1), axis=1)[:, min(k, size - 1)], 1e-12)
@@ -40,15 +39,19 @@ def diffusion_map(d, n=5, bandwidth="knn", k=10, alpha=1.0, theiler=0, zero_diag
         width = np.median(off) if bandwidth == "median" else float(bandwidth)
         sigma = np.full(size, width)
         kernel = np.exp(-(d**2) / (2 * width**2 + 1e-300))
-    if zero_diagonal or theiler:
+    if theiler and late_window:
+        kernel[near] = 0.0
+    if keep_self:
+        np.fill_diagonal(kernel, 1.0)
+    elif zero_diagonal or theiler:
         np.fill_diagonal(kernel, 0.0)
     q = np.maximum(kernel.sum(1), 1e-12)
     kernel = kernel / np.outer(q**alpha, q**alpha)
     rows = kernel.sum(1)
     rows = np.maximum(rows, 1e-12 * np.median(rows) + 1e-300)
-    if matrix == "markov":
+    if matrix in ("markov", "lower"):
         p = kernel / rows[:, None]
-        values, vectors = np.linalg.eigh((p + p.T) / 2)
+        values, vectors = np.linalg.eigh((p + p.T) / 2 if matrix == "markov" else p)
         scale = np.ones(size)
     else:
         scale = 1 / np.sqrt(rows)
@@ -111,25 +114,18 @@ def smacof(d, n=2, steps=200):
 
 
 def geodesics(d, k):
-    """Shortest paths over the undirected k-nearest-neighbour graph, by Dijkstra from every point."""
+    """Shortest paths over the undirected k-nearest-neighbour graph: every point in turn as a stopover, on whole matrices."""
     size = len(d)
     near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-    graph = [{} for _ in range(size)]
-    for i in range(size):
-        for j in near[i]:
-            graph[i][int(j)] = graph[int(j)][i] = d[i, j]
+    rows = np.repeat(np.arange(size), near.shape[1])
     out = np.full((size, size), np.inf)
-    for s in range(size):
-        heap, own = [(0.0, s)], out[s]
-        own[s] = 0.0
-        while heap:
-            r, i = heapq.heappop(heap)
-            if r > own[i]:
-                continue
-            for j, w in graph[i].items():
-                if r + w < own[j]:
-                    own[j] = r + w
-                    heapq.heappush(heap, (r + w, j))
+    out[rows, near.ravel()] = d[rows, near.ravel()]
+    out = np.minimum(out, out.T)
+    np.fill_diagonal(out, 0.0)
+    step = np.empty_like(out)
+    for m in range(size):
+        np.add(out[:, m, None], out[m], out=step)
+        np.minimum(out, step, out=out)
     return out
 
 
@@ -144,14 +140,29 @@ def curvature(v, k=12, how="median"):
     return float(np.median(g[i, j][ok] / d[i, j][ok])) if ok.any() else float("nan")
 
 
+def kernel_log_sums(squares, size, eps, chunk=1 << 15):
+    """ln of the kernel sums over all ordered pairs of ``size`` points, themselves included, from the squared distances
+    of unordered pairs: chunks stay in cache, and widths at which a chunk no longer counts are skipped."""
+    out = np.full(len(eps), float(size))
+    for i in range(0, len(squares), chunk):
+        u = squares[i : i + chunk]
+        least, buffer = u.min(), np.empty_like(u)
+        for k in range(len(eps) - 1, -1, -1):
+            if least > 60 * eps[k]:  # below 1e-26 each, and so at all smaller widths
+                break
+            np.multiply(u, -1 / eps[k], out=buffer)
+            np.exp(buffer, out=buffer)
+            out[k] += 2 * buffer.sum()
+    return np.log(out)
+
+
 def kernel_sum_dimension(d, n=40):
     """2 * the largest slope of ln S(eps) over ln eps, S the sum of exp(-d^2/eps) over all pairs, and its width."""
-    off = d[~np.eye(len(d), dtype=bool)]
-    eps = np.geomspace(off[off > 0].min() ** 2 / 10, off.max() ** 2 * 10, n)
-    s = np.array([np.exp(-(d**2) / e).sum() for e in eps])
-    slope = np.gradient(np.log(s), np.log(eps))
+    flat = np.concatenate([d[i, i + 1 :] for i in range(len(d) - 1)]) if len(d) > 1 else np.zeros(0)
+    eps = np.geomspace(flat[flat > 0].min() ** 2 / 10, flat.max() ** 2 * 10, n)
+    slope = np.gradient(kernel_log_sums(np.square(flat), len(d), eps), np.log(eps))
     best = slope.argmax()
-    med = np.median(off)
+    med = np.median(flat)
     return 2 * float(slope[best]), float(np.clip(np.sqrt(eps[best] / 2), 0.15 * med, med))
 
 
@@ -169,10 +180,13 @@ def levina_bickel(d, k1=5, k2=20):
     return float(np.mean(1 / np.log(top[ok, None] / r[ok, k1 - 1 : k2 - 1]).mean(1)))
 
 
-def correlation_dimension(d, n=40, window=8, lo=0.005, hi=0.25, spread=0.12):
-    """Flattest run of slopes of ln C(r) over ln r where C is between lo and hi; NaN if it spreads too much."""
-    off = np.sort(d[np.triu_indices(len(d), 1)])
+def correlation_dimension(d, n=40, window=8, lo=0.005, hi=0.25, spread=0.12, theiler=0):
+    """Flattest run of slopes of ln C(r) over ln r where C is between lo and hi; NaN if it spreads too much. Pairs nearer
+    in time than ``theiler`` are left out."""
+    off = np.sort(d[np.triu_indices(len(d), 1 + theiler)])
     off = off[off > 0]
+    if len(off) < n:
+        return float("nan")
     r = np.geomspace(np.percentile(off, 0.5), np.percentile(off, 90), n)
     c = np.searchsorted(off, r, "right") / len(off)
     slope = np.gradient(np.log(np.maximum(c, 1e-300)), np.log(r))
@@ -184,6 +198,94 @@ def correlation_dimension(d, n=40, window=8, lo=0.005, hi=0.25, spread=0.12):
     return float(best[1]) if best[0] <= spread else float("nan")
 
 
+def gated_correlation_dimension(d, n=40, window=8, theiler=0):
+    """Slope of the straightest run of ln C(r) over ln r, if its R^2 passes the gate (0.92 below 300 points, else 0.95)
+    and the slope is between 1 and 20; NaN otherwise. Also the R^2."""
+    off = np.sort(d[np.triu_indices(len(d), 1 + theiler)])
+    off = off[off > 0]
+    if len(off) < n:
+        return float("nan"), 0.0
+    r = np.geomspace(np.percentile(off, 0.5), np.percentile(off, 90), n)
+    c = np.searchsorted(off, r, "right") / len(off)
+    x, y = np.log(r), np.log(np.maximum(c, 1e-300))
+    xs, ys = (np.lib.stride_tricks.sliding_window_view(v, window) for v in (x, y))
+    xs, ys = xs - xs.mean(1, keepdims=True), ys - ys.mean(1, keepdims=True)
+    sxy, sxx, syy = (xs * ys).sum(1), (xs * xs).sum(1), np.maximum((ys * ys).sum(1), 1e-300)
+    r2 = sxy**2 / (sxx * syy)
+    best = int(r2.argmax())
+    slope = float(sxy[best] / sxx[best])
+    good = r2[best] >= (0.92 if len(d) < 300 else 0.95) and 1 <= slope <= 20
+    return slope if good else float("nan"), float(r2[best])
+
+
+def spectrum_profile(values):
+    """Dimensions suggested by a falling spectrum: (place of a jump in the ratio of neighbours above twice the median ratio
+    and 1.5, or 0; place of the sharpest bend of ln values)."""
+    y = np.asarray([v for v in values if v > 1e-12], float)
+    if len(y) < 4:
+        return 0, len(y)
+    ratio = y[:-1] / y[1:]
+    jump = np.flatnonzero((ratio > 2 * np.median(ratio)) & (ratio > 1.5))
+    return int(jump[0]) + 1 if len(jump) else 0, int(np.diff(np.log(y), 2).argmin()) + 2
+
+
+def spectral_diagnosis(values, points, features):
+    """split (a leading gap), high_dim (most values above the edge of pure noise) or weak, and the share above the edge
+    (Marchenko-Pastur, from the median value as noise level)."""
+    y = np.sort(np.asarray(values, float))[::-1]
+    y = y[y > 0]
+    if len(y) < 3:
+        return "weak", 0.0
+    edge = np.median(y) * (1 + np.sqrt(features / max(points, 1))) ** 2
+    share = float((y > edge).mean())
+    if y[0] / y[1] > 2:
+        return "split", share
+    return ("high_dim" if share > 0.3 else "weak"), share
+
+
+def median_scaled(v):
+    """Distances over the median of the positive ones."""
+    d = distances(v)
+    pos = d[d > 0]
+    return d / np.median(pos) if len(pos) else d
+
+
+def gram_hellinger(t):
+    """Hellinger distances between rows of total mass 1 from inner products of their roots."""
+    r = np.sqrt(t)
+    d = np.sqrt(np.clip(2 - 2 * r @ r.T, 0, None))
+    np.fill_diagonal(d, 0.0)
+    return (d + d.T) / 2
+
+
+def matrix_distances(mats):
+    """Frobenius distances between upper triangles of square matrices, shorter ones padded with zeros."""
+    flat = [m[np.triu_indices(len(m), 1)] for m in mats]
+    width = max(map(len, flat), default=0)
+    return distances(np.array([np.pad(f, (0, width - len(f))) for f in flat])) * np.sqrt(2)
+
+
+def cost_matrix_map(d, n=5):
+    """Diffusion map of a cost matrix: Euclidean coordinates by classical scaling first (all positive axes)."""
+    x = classical_mds(d, len(d) - 1)
+    return diffusion_map(distances(x[:, np.abs(x).max(0) > 1e-12]), n)
+
+
+def landmark_map(v, n=5, landmarks=800, k=10, seed=0, d_of=distances):
+    """Diffusion map of up to ``landmarks`` points as they are; of more, the map of farthest-point landmarks extended to
+    all: (coordinates, eigenvalues, landmark rows)."""
+    pick = np.arange(len(v)) if len(v) <= landmarks else farthest_points(v, landmarks, int(np.random.default_rng(seed).integers(len(v))))
+    coords, values, psi, sigma, q = diffusion_map(d_of(v[pick]), n, k=k)
+    return (coords if len(pick) == len(v) else nystrom((v[pick], sigma, q, psi, values), v, k)), values, pick
+
+
+def series_map(v, n=5, version="dense", tau=1):
+    """Map of a delay cloud: dense over all points with its delay as Theiler window, or (first) over 200 farthest points."""
+    if version == "dense":
+        return diffusion_map(distances(v), n, theiler=tau)
+    return diffusion_map(distances(v[farthest_points(v, 200)]), n)
+
+
 def knee(values, weighted=False):
     """Knee of a falling spectrum by two fitted lines: least summed squares, or least weighted RMSE."""
     y = np.asarray([v for v in values if v > 0], float)

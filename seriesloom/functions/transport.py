@@ -33,27 +33,127 @@ def objective(a, b, t):
     return float(p @ (a * a) @ p + q @ (b * b) @ q - 2 * np.sum((a @ t @ b.T) * t))
 
 
-def gw_plan(a, b, eps=0.008, steps=60, tol=1e-9, p=None, q=None):
-    """Entropic plan by projected mirror descent from the product plan: (plan, loss, converged)."""
-    n, m = len(a), len(b)
-    p, q = (np.full(n, 1 / n) if p is None else p), (np.full(m, 1 / m) if q is None else q)
-    t, const = np.outer(p, q), ((a * a) @ p)[:, None] + ((b * b) @ q)[None]
-    done = False
-    for _ in range(steps):
-        new = sinkhorn(const - 2 * a @ t @ b.T, p, q, eps)
-        step = np.abs(new - t).sum()
-        t = new
-        if step < max(tol, 1e-7):
-            done = True
+def scalings(cost, p, q, eps, f, g, steps, tol):
+    """Entropic plans of a stack of costs from warm potentials f and g: (plans, f, g). The kernel is taken after the
+    potentials are drawn in, so its scalings stay near 1; entries where they don't are solved in the log domain."""
+    kernel = np.exp((f[:, :, None] + g[:, None] - cost) / eps)
+    u, v = np.ones_like(f), np.ones_like(g)
+    with np.errstate(all="ignore"):
+        for k in range(steps):
+            u = p / (kernel @ v[:, :, None])[:, :, 0]
+            v = q / (u[:, None] @ kernel)[:, 0]
+            if k % 10 == 9 and np.abs(u * (kernel @ v[:, :, None])[:, :, 0] - p).max() < tol:
+                break
+        t = u[:, :, None] * kernel * v[:, None]
+        f, g = f + eps * np.log(u), g + eps * np.log(v)
+    for i in np.flatnonzero(~(np.isfinite(t).all((1, 2)) & np.isfinite(f).all(1) & np.isfinite(g).all(1) & (np.abs(t.sum((1, 2)) - 1) < 1e-3))):
+        t[i] = sinkhorn(cost[i], p, q, eps, steps, tol)
+        f[i], g[i] = 0.0, 0.0
+    return t, f, g
+
+
+def gw_plans(a, b, eps=0.008, steps=1000, tol=1e-9, p=None, q=None, inner=50):
+    """Entropic plans of a stack of cost matrices against one (or a stack of) reference: (plans, losses, converged).
+
+    Projected mirror descent on the squared loss from the product plan, all pairs of the stack at once; a pair leaves
+    the stack when its plan has settled. Potentials stay warm from step to step, so few inner rounds suffice and the
+    marginals settle with the plan. Uniform marginals unless both are given.
+    """
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    b = np.broadcast_to(b, (len(a), *b.shape[-2:]))
+    k, n, m = len(a), a.shape[1], b.shape[1]
+    if p is None or q is None:
+        p, q = np.full(n, 1 / n), np.full(m, 1 / m)
+    t = np.broadcast_to(np.outer(p, q), (k, n, m)).copy()
+    const = (np.square(a) @ p)[:, :, None] + (np.square(b) @ q)[:, None]
+    f, g = np.zeros((k, n)), np.zeros((k, m))
+    done, open_ = np.zeros(k, bool), np.arange(k)
+    for r in range(steps):
+        cost = 2 * (const[open_] - 2 * a[open_] @ t[open_] @ b[open_].transpose(0, 2, 1))
+        if r == 0:
+            f[open_] = cost.min(2)
+        new, f[open_], g[open_] = scalings(cost, p, q, eps, f[open_], g[open_], inner, tol)
+        change = np.sqrt(np.square(new - t[open_]).sum((1, 2)))
+        t[open_] = new
+        settled = change < tol
+        done[open_[settled]] = True
+        open_ = open_[~settled]
+        if not len(open_):
             break
-    return t, objective(a, b, t), done
+    off = np.flatnonzero(np.abs(t.sum(2) - p).max(1) > 1e-8)
+    if len(off):  # marginals of plans that had not settled
+        cost = 2 * (const[off] - 2 * a[off] @ t[off] @ b[off].transpose(0, 2, 1))
+        t[off] = scalings(cost, p, q, eps, f[off], g[off], 5000, 1e-9)[0]
+    return t, np.array([objective(x, y, z) for x, y, z in zip(a, b, t)]), done
+
+
+def gw_plan(a, b, eps=0.008, steps=1000, tol=1e-9, p=None, q=None):
+    """Entropic plan of one pair: (plan, loss, converged)."""
+    t, loss, done = gw_plans(np.asarray(a)[None], b, eps, steps, tol, p, q)
+    return t[0], float(loss[0]), bool(done[0])
+
 
+def assignment(cost):
+    """Columns of the cheapest one-to-one assignment of rows, by shortest augmenting paths with potentials."""
+    n = len(cost)
+    u, v = np.zeros(n), np.zeros(n + 1)
+    row_of = np.full(n + 1, -1)
+    for i in range(n):
+        row_of[n], j = i, n
+        best, way, seen = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while row_of[j] >= 0:
+            seen[j] = True
+            r = row_of[j]
+            free = ~seen[:n]
+            now = cost[r] - u[r] - v[:n]
+            better = free & (now < best)
+            best[better], way[better] = now[better], j
+            j1 = int(np.where(free, best, np.inf).argmin())
+            step = best[j1]
+            held = np.flatnonzero(seen)
+            u[row_of[held]] += step
+            v[held] -= step
+            best[free] -= step
+            j = j1
+        while j != n:
+            row_of[j] = row_of[way[j]]
+            j = int(way[j])
+    out = np.empty(n, int)
+    out[row_of[:n]] = np.arange(n)
+    return out
 
-def robust_plan(a, b, eps=0.008):
-    """Plan with fallbacks: (flat plan, status); a wider eps, then the product plan."""
+
+def exact_plan(a, b, steps=200, tol=1e-9, start=None):
+    """Plan without entropy by conditional gradients: (plan, loss, converged). Marginals are uniform and of one size, so
+    each direction is an assignment; the step along it minimises the quadratic loss exactly."""
+    n = len(a)
+    if len(b) != n:
+        raise ValueError("both matrices must have one size")
+    t = np.full((n, n), 1 / n**2) if start is None else start
+    const = ((a * a).sum(1) / n)[:, None] + ((b * b).sum(1) / n)[None]
+    loss = objective(a, b, t)
+    for _ in range(steps):
+        grad = 2 * (const - 2 * a @ t @ b.T)
+        s = np.zeros((n, n))
+        s[np.arange(n), assignment(grad)] = 1 / n
+        way = s - t
+        slope, curve = float((grad * way).sum()), float(-2 * (a @ way @ b.T * way).sum())
+        gamma = min(1.0, -slope / (2 * curve)) if curve > 0 else float(slope + curve < 0)
+        if slope > -tol or gamma <= 0:
+            return t, loss, True
+        t = t + gamma * way
+        new = objective(a, b, t)
+        if abs(loss - new) <= tol * max(abs(loss), 1e-300):
+            return t, new, True
+        loss = new
+    return t, loss, False
+
+
+def robust_plan(a, b, eps=0.008, steps=200):
+    """Plan with fallbacks: (flat plan, status); a wider eps, then the product plan; floored and renormalised."""
     for e, status in ((eps, "ok"), (max(10 * eps, 0.1), "wide")):
         try:
-            t = gw_plan(unit_max(a), b, e)[0]
+            t = gw_plan(unit_max(a), b, e, steps)[0]
             if np.isfinite(t).all() and t.sum() > 0:
                 t = np.maximum(t, 1e-15)
                 return t / t.sum(), status
@@ -62,38 +162,101 @@ def robust_plan(a, b, eps=0.008):
     return np.full((len(a), len(b)), 1 / (len(a) * len(b))), "uniform"
 
 
-def barycenter_step(plans_costs, weights, n):
-    """Weighted mean of T' C T over members, divided by the product of the marginals."""
-    total = sum(w * (t.T @ c @ t) for w, (t, c) in zip(weights, plans_costs))
-    return total * n * n
+def plan_or_exact(a, b, eps=0.008, steps=2000):
+    """Entropic plan, or the exact one where it fails: (plan, status)."""
+    t = gw_plan(a, b, eps, steps)[0]
+    if np.isfinite(t).all() and abs(t.sum() - 1) < 1e-3:
+        return t, "entropic"
+    return exact_plan(a, b)[0], "exact"
+
+
+def pair_distances(mats):
+    """Exact distances of all pairs of a small set of cost matrices: root of the loss, not below 0."""
+    d = np.zeros((len(mats), len(mats)))
+    for i in range(len(mats)):
+        for j in range(i):
+            d[i, j] = d[j, i] = np.sqrt(max(exact_plan(mats[i], mats[j])[1], 0.0))
+    return d
+
 
+def random_start(n, rng):
+    """Symmetric start of a barycenter: distances of random points, over their largest."""
+    x = rng.normal(size=(n, 3))
+    return unit_max(np.sqrt(np.square(x[:, None] - x[None]).sum(-1)))
 
-def barycenter(costs, n, eps=0.02, rounds=8, seed=0, restarts=2, weights=None):
-    """Frechet mean of distance matrices: (matrix, objective), the best of a few random starts."""
+
+def pulled_back(t, c):
+    """Sum over a stack of T' C T: the part of a barycenter step that adds up over members."""
+    return (t.transpose(0, 2, 1) @ c @ t).sum(0)
+
+
+def squared(b):
+    """Symmetric with an empty diagonal."""
+    b = (b + b.T) / 2
+    np.fill_diagonal(b, 0.0)
+    return b
+
+
+def barycenter(costs, n, eps=0.02, rounds=8, seed=0, restarts=2, weights=None, exact=False, tol=1e-5, steps=60):
+    """Frechet mean of distance matrices: (matrix, objective), the best of a few random starts; ``exact`` uses plans
+    without entropy (matrices of size n), started at the product plan."""
     rng = np.random.default_rng(seed)
     weights = np.full(len(costs), 1 / len(costs)) if weights is None else np.asarray(weights) / np.sum(weights)
+    costs = np.asarray(costs, float)
+
+    def solve(b):
+        if exact:
+            found = [exact_plan(c, b) for c in costs]
+            return np.array([f[0] for f in found]), np.array([f[1] for f in found])
+        return gw_plans(costs, b, eps, steps, inner=10)[:2]
+
     best = (np.inf, None)
     for r in range(restarts):
-        if r == 0 and any(len(c) == n for c in costs):
-            b = next(c for c in costs if len(c) == n).copy()
-        else:
-            x = rng.normal(size=(n, 3))
-            b = unit_max(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)))
+        b = costs[0].copy() if r == 0 and costs.shape[1] == n else random_start(n, rng)
         for _ in range(rounds):
-            solved = [gw_plan(c, b, eps, 15) for c in costs]
-            b = barycenter_step([(t, c) for (t, _, _), c in zip(solved, costs)], weights, n)
-            b = (b + b.T) / 2
-            np.fill_diagonal(b, 0.0)
-        loss = sum(w * gw_plan(c, b, eps, 15)[1] for w, c in zip(weights, costs))
-        best = min(best, (loss, b), key=lambda x: x[0])
+            t = solve(b)[0]
+            new = squared(sum(w * x.T @ c @ x for w, x, c in zip(weights, t, costs)) * n * n)
+            still = np.abs(new - b).max() < tol
+            b = new
+            if still:
+                break
+        best = min(best, (float(weights @ solve(b)[1]), b), key=lambda x: x[0])
     return best[1], best[0]
 
 
+def pair_barycenter(costs, n, ladder=(0.01, 0.05, 0.1, 0.5), **options):
+    """Barycenter by the first eps of a ladder whose result is finite: (matrix, objective, eps)."""
+    for eps in ladder:
+        try:
+            b, loss = barycenter(costs, n, eps, **options)
+        except (ValueError, FloatingPointError):
+            continue
+        if np.isfinite(b).all() and np.isfinite(loss):
+            return b, loss, eps
+    raise ValueError("no eps gives a finite barycenter")
+
+
+def projected_states(series_rows, plan, coords, supports):
+    """Barycentric coordinates of states: each state's nearest support names a row of the plan; its normalised row
+    averages the reference's coordinates (a row without mass gives zeros)."""
+    d2 = np.square(series_rows[:, None] - supports[None]).sum(-1)
+    row = plan[d2.argmin(1)]
+    mass = row.sum(1, keepdims=True)
+    return np.where(mass > 0, row / np.where(mass > 0, mass, 1.0) @ coords, 0.0)
+
+
 def sensitivity(t, left, right, values):
     """(left' T right) * value / sum of values, by mode of the right."""
     return (left.T @ t @ right) * values / values.sum()
 
 
+def mediated_sensitivity(t_a, t_b, modes_a, modes_b, values):
+    """Modes of two members pushed to their common reference and compared there, as a mean over its supports."""
+    push = lambda t, m: (t.T @ m) / np.maximum(t.sum(0), 1e-300)[:, None]
+    a, b = push(t_a, modes_a), push(t_b, modes_b)
+    return (a.T @ b) / len(a) * values / values.sum()
+
+
 def asymmetry(s, r, how="frobenius"):
     """Difference of two sensitivity slices of opposite direction."""
     if how == "max":

@@ -163,3 +163,34 @@ def steepest(sums: DataFrame) -> DataFrame:
     up, down = F.lead("ln_s").over(w), F.lag("ln_s").over(w)
     slope = F.coalesce((up - down) / (F.lead(x).over(w) - F.lag(x).over(w)), (up - F.col("ln_s")) / (F.lead(x).over(w) - x), (F.col("ln_s") - down) / (x - F.lag(x).over(w)))
     return sums.withColumn("slope", slope).agg((2 * F.max("slope")).alias("dimension"), F.max_by("eps", "slope").alias("eps"))
+
+
+def label_dimensions(points: DataFrame, n: int = 40) -> DataFrame:
+    """label, n_all, full: the kernel-sum dimension over all points of each label, by partial sums of blocks."""
+
+    def pairs(q, ql, p, pl, qi, pi):
+        d2 = np.square(distances(q, p))
+        for label in np.intersect1d(ql, pl):
+            own = d2[np.ix_(ql == label, pl == label)]
+            yield label, own, qi[ql == label][:, None] != pi[pl == label][None]
+
+    def ends(qi, q, ql, pi, p, pl):
+        rows = [(int(k), float(d[o][d[o] > 0].min(initial=np.inf)), float(d[o].max(initial=0.0))) for k, d, o in pairs(q, ql, p, pl, qi, pi)]
+        return pd.DataFrame(rows, columns=["label", "lo", "hi"])
+
+    found = against(points, points, ends, "label long, lo double, hi double").groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("hi > 0").collect()
+    widths = {r.label: np.geomspace(r.lo / 10, r.hi * 10, n) for r in found}
+
+    def sums(qi, q, ql, pi, p, pl):
+        rows = []
+        for k, d, o in pairs(q, ql, p, pl, qi, pi):
+            if int(k) in widths:
+                d = np.where(o, d, 0.0)
+                rows += [(int(k), j, float(e), float(np.exp(-d / e).sum())) for j, e in enumerate(widths[int(k)])]
+        return pd.DataFrame(rows, columns=["label", "k", "eps", "s"])
+
+    s = against(points, points, sums, "label long, k int, eps double, s double").groupBy("label", "k", "eps").agg(F.ln(F.sum("s")).alias("y"))
+    w, x = Window.partitionBy("label").orderBy("k"), F.ln("eps")
+    slope = (F.lead("y").over(w) - F.lag("y").over(w)) / (F.lead(x).over(w) - F.lag(x).over(w))
+    top = s.withColumn("slope", slope).groupBy("label").agg((2 * F.max("slope")).alias("full"))
+    return points.groupBy("label").agg(F.count("*").alias("n_all")).join(top, "label", "left")

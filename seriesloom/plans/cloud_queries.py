@@ -65,6 +65,13 @@ def b09_unit_max(spark, d):
     return pts(spark, d).select("id", rnd(F.col("v")[0] / top).alias("unit"), rnd(2 * F.col("v")[0] / top).alias("regime"))
 
 
+@query(C + " select id, round(list_max(list_transform(v, lambda x: 2 * x / list_max(list_transform(v, lambda y: abs(y))))), 6) as top from c")
+def b10_regime_scale(spark, d):
+    """Values scaled so that the largest magnitude is 2: the largest value after it."""
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    return pts(spark, d).select("id", F.round(F.array_max(F.transform("v", lambda x: 2 * x / top)), 6).alias("top"))
+
+
 @query(PLAN + " select id, round(t[1], 9) as first, round(sqrt(t[64]), 9) as root from t")
 def b11_mass_and_root(spark, d):
     return pts(spark, d).select("id", cl.as_plan(F.col("v")).alias("t")).select("id", F.round(F.col("t")[0], 9).alias("first"), F.round(F.sqrt(F.col("t")[63]), 9).alias("root"))
@@ -86,13 +93,8 @@ def h04_mutual_information(spark, d):
     return t.select("id", rnd((cl.entropy(F.col("p")) + cl.entropy(F.col("q")) - cl.entropy(F.col("t"))) / float(np.log(8))).alias("information"))
 
 
-@query(PLAN + ", x as (select t.id, unnest(range(64)) as k, unnest(t.t) as m from t), y as (select id, k // 8 as r, k % 8 as c, m from x) select a.id, a.r, b.r as c, round(sum(a.m * b.m), 9) as w from y a join y b on a.id = b.id and a.c = b.c where a.id % 20 = 0 group by all")
+@query(PLAN + ", x as (select t.id, unnest(range(64)) as k, unnest(t.t) as m from t), y as (select id, k // 8 as r, k % 8 as c, m from x) select a.id, a.r, b.r as c, round(sum(a.m * b.m), 9) as w from y a join y b on a.id = b.id and a.c = b.c group by all")
 def h08_mediated_coupling(spark, d):
-    return coupled(asked(pts(spark, d)))
-
-
-@query(ORACLE["h08_mediated_coupling"].replace(" where a.id % 20 = 0", ""))
-def h08_mediated_coupling_all(spark, d):
     """The coupling of every plan."""
     return coupled(pts(spark, d))
 
@@ -129,6 +131,54 @@ def d03_plan_distances(spark, d):
     return cl.against(p, asked(p), part, "i long, n long, h double, f double").groupBy("i").agg(F.round(F.sum("h") / F.sum("n"), 6).alias("hellinger"), F.round(F.sum("f") / F.sum("n"), 6).alias("frobenius"))
 
 
+@query(PLAN + " select a.id as i, round(avg(sqrt(list_sum(list_transform(list_zip(a.t, b.t), lambda z: (sqrt(z[1]) - sqrt(z[2])) * (sqrt(z[1]) - sqrt(z[2])))) / 2)), 6) as bounded, round(avg(sqrt(greatest(2 - 2 * list_sum(list_transform(list_zip(a.t, b.t), lambda z: sqrt(z[1] * z[2]))), 0))), 6) as gram from t a join t b on a.id <> b.id where a.id % 20 = 0 group by all")
+def d04_bounded_hellinger(spark, d):
+    """Mean Hellinger distance within [0, 1], and the unscaled one from inner products of the roots, of the plans asked to all."""
+    p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v")))
+
+    def part(qi, q, ql, pi, x, pl):
+        other = qi[:, None] != pi[None]
+        return pd.DataFrame({"i": qi, "n": other.sum(1), "h": (distances(np.sqrt(q), np.sqrt(x)) / np.sqrt(2) * other).sum(1), "g": (np.sqrt(np.clip(2 - 2 * np.sqrt(q) @ np.sqrt(x).T, 0, None)) * other).sum(1)})
+
+    return cl.against(p, asked(p), part, "i long, n long, h double, g double").groupBy("i").agg(F.round(F.sum("h") / F.sum("n"), 6).alias("bounded"), F.round(F.sum("g") / F.sum("n"), 6).alias("gram"))
+
+
+@query(PLAN + " select round(median(list_distance(a.t, b.t)), 6) as frobenius, round(median(sqrt(list_sum(list_transform(list_zip(a.t, b.t), lambda z: (sqrt(z[1]) - sqrt(z[2])) * (sqrt(z[1]) - sqrt(z[2])))))), 6) as hellinger from t a join t b on a.id < b.id")
+def d06_plan_medians(spark, d):
+    """Exact medians of both distances over all pairs of plans."""
+    p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v"))).withColumn("label", F.lit(0).cast("long"))
+    one = lambda x, n: cl.median_distances(x).filter("same").select(F.round("d", 6).alias(n))
+    return one(p, "frobenius").join(one(p.withColumn("v", F.transform("v", F.sqrt)), "hellinger"))
+
+
+@query(C + ", p as (select a.id, list_distance(a.v, b.v) as d from c a join c b on a.id <> b.id), m as (select median(d) as m from p where d > 0) select id, round(avg(d) / (select m from m), 6) as scaled from p where id % 20 = 0 group by id")
+def d02_median_scaled(spark, d):
+    """Mean distance of the points asked to all others, over the exact median of the positive distances of all pairs."""
+    p = pts(spark, d)
+    m = F.broadcast(cl.median_distances(p.withColumn("label", F.lit(0).cast("long"))).filter("same").select(F.col("d").alias("m")))
+
+    def part(qi, q, ql, pi, x, pl):
+        other = qi[:, None] != pi[None]
+        return pd.DataFrame({"id": qi, "n": other.sum(1), "s": (distances(q, x) * other).sum(1)})
+
+    e = cl.against(p, asked(p), part, "id long, n long, s double").groupBy("id").agg((F.sum("s") / F.sum("n")).alias("d"))
+    return e.join(m).select("id", F.round(F.col("d") / F.col("m"), 6).alias("scaled"))
+
+
+@query(C + ", x as (select id, unnest(range(64)) as k, unnest(v) as x from c), s as (select k, avg(x) as m, stddev_pop(x) as sd from x group by k) select id, round(sum((x - m) / case when sd < 1e-10 then 1 else sd end), 5) + 0.0 as total, round(max((x - m) / case when sd < 1e-10 then 1 else sd end), 5) as top from x join s using (k) group by id")
+def q11_column_scores(spark, d):
+    """Features to zero mean and unit deviation by column: sum and largest score of each row. Column moments come from
+    one pass; rows are never exploded against them."""
+    p = pts(spark, d)
+    width = 64
+    m = p.agg(*[f(F.col("v")[k]).alias(f"{n}{k}") for k in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if m.m0 is None:
+        return spark.createDataFrame([], "id long, total double, top double")
+    mean, sd = (F.array(*[F.lit(float(m[f"{n}{k}"])) for k in range(width)]) for n in ("m", "s"))
+    z = F.transform(F.arrays_zip(F.col("v").alias("v"), mean.alias("m"), sd.alias("s")), lambda e: (e["v"] - e["m"]) / F.when(e["s"] < 1e-10, 1.0).otherwise(e["s"]))
+    return p.select("id", z.alias("z")).select("id", rnd(cl.total(F.col("z")), 5).alias("total"), F.round(F.array_max("z"), 5).alias("top"))
+
+
 @query(KNN.format(where=" and a.id % 20 = 0", k=10) + " select i, j, round(d, 6) as d, rank from k")
 def j11_nearest(spark, d):
     p = pts(spark, d)
@@ -239,21 +289,8 @@ def t06_silhouette(spark, d):
     return s.agg(rnd(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 
-@query(C + " select round(median(list_distance(a.v, b.v)) filter (a.label = b.label) / median(list_distance(a.v, b.v)) filter (a.label <> b.label), 6) as ratio from c a join c b on a.id <> b.id where a.id % 20 = 0")
+@query(C + " select round(median(list_distance(a.v, b.v)) filter (a.label = b.label) / median(list_distance(a.v, b.v)) filter (a.label <> b.label), 6) as ratio from c a join c b on a.id <> b.id")
 def t08_within_between(spark, d):
-    p = pts(spark, d)
-
-    def part(qi, q, ql, pi, x, pl):
-        off = qi[:, None] != pi[None]
-        return pd.DataFrame({"same": (ql[:, None] == pl[None])[off], "d": distances(q, x)[off]})
-
-    e = cl.against(p, asked(p), part, "same boolean, d double")
-    med = lambda c: F.percentile(F.when(c, F.col("d")), F.lit(0.5))
-    return e.agg(F.round(med(F.col("same")) / med(~F.col("same")), 6).alias("ratio"))
-
-
-@query(ORACLE["t08_within_between"].replace(" where a.id % 20 = 0", ""))
-def t08_within_between_all(spark, d):
     """The ratio over the pairs of all rows."""
     m = cl.median_distances(pts(spark, d))
     return m.agg(F.round(F.max(F.when(F.col("same"), F.col("d"))) / F.max(F.when(~F.col("same"), F.col("d"))), 6).alias("ratio"))
@@ -302,17 +339,8 @@ def emb11_minimal_delay_vectors(spark, d):
     return x.filter("pos <= n - 2").select(*BY, "pos", "v")
 
 
-@query(S + ", a as (select a.key, a.date, row_number() over (partition by a.key order by a.date) as pos, a.x, b.x as y from (select key, date, max_by(x, pos) as x from s where vintage = 1 group by all) a join (select key, date, max_by(x, pos) as x from s where vintage = 2 group by all) b using (key, date)) select key, pos, [x, y, lag(x, 4) over w, lag(y, 4) over w] as v from a window w as (partition by key order by pos) qualify pos > 4")
-def emb12_joint_embedding(spark, d):
-    s = ser(spark, d)
-    one = lambda v, n: s.filter(F.col("vintage") == v).groupBy("key", "date").agg(F.max_by("x", "pos").alias(n))
-    w = Window.partitionBy("key").orderBy("date")
-    a = one(1, "x").join(one(2, "y"), ["key", "date"]).withColumn("pos", F.row_number().over(w))
-    return a.withColumn("v", F.array("x", "y", F.lag("x", 4).over(w), F.lag("y", 4).over(w))).filter("pos > 4").select("key", "pos", "v")
-
-
 @query(_PAIRS + ", j as (select l.pair, l.date, row_number() over (partition by l.pair order by l.date) as pos, l.x, r.x as y from (select pair, date, max_by(x, pos) as x from a group by all) l join (select pair, date, max_by(x, pos) as x from b group by all) r using (pair, date)) select pair, pos, [x, y, lag(x, 4) over w, lag(y, 4) over w] as v from j window w as (partition by pair order by pos) qualify pos > 4")
-def emb12_joint_embedding_all(spark, d):
+def emb12_joint_embedding(spark, d):
     """Every vintage of a key with the preceding one."""
     one = lambda s, n: s.groupBy("pair", "date").agg(F.max_by("x", "pos").alias(n))
     a, b = pairs(spark, d)
@@ -349,14 +377,8 @@ def w06_plan_velocity(spark, d):
     return t.select("id", F.round(gap(lambda x: x), 6).alias("frobenius"), F.round(gap(F.sqrt), 6).alias("hellinger"))
 
 
-@query(PLAN + ", s as (select a.label, a.id, sum(list_distance(a.t, b.t)) as s from t a join t b on a.label = b.label where a.id % 20 = 0 group by all) select label, min_by(id, (round(s, 9), id)) as medoid from s group by label")
+@query(PLAN + ", s as (select a.label, a.id, sum(list_distance(a.t, b.t)) as s from t a join t b on a.label = b.label group by all) select label, min_by(id, (round(s, 9), id)) as medoid from s group by label")
 def g14_medoid(spark, d):
-    p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v")))
-    return medoids(p, asked(p))
-
-
-@query(ORACLE["g14_medoid"].replace(" where a.id % 20 = 0", ""))
-def g14_medoid_all(spark, d):
     """The medoid of a label among all its rows."""
     p = pts(spark, d).withColumn("v", cl.as_plan(F.col("v")))
     return medoids(p, p)
@@ -379,15 +401,8 @@ def s01_sensitivity(spark, d):
     return t.select("id", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("l"), rnd(cl.dot(F.col("t"), weight[k]), 9).alias("s")) for k in range(3)])).alias("e")).select("id", "e.*")
 
 
-@query(KNN.format(where=" and a.id % 20 = 0 and b.id % 2 = 1", k=1) + ", u as (select a.id as i, min(list_distance(a.v, b.v)) as d from c a join c b on a.id <> b.id and a.id % 2 = 1 and b.id % 2 = 1 and a.id % 5 = 0 group by all) select round(avg((d <= (select quantile_cont(d, 0.95) from u))::int), 6) as inside from k")
+@query(KNN.format(where=" and a.id % 2 = 0 and b.id % 2 = 1", k=1) + ", u as (select a.id as i, min(list_distance(a.v, b.v)) as d from c a join c b on a.id <> b.id and a.id % 2 = 1 and b.id % 2 = 1 group by all) select round(avg((d <= (select quantile_cont(d, 0.95) from u))::int), 6) as inside from k")
 def v07_support(spark, d):
-    p = pts(spark, d)
-    odd = p.filter("id % 2 = 1")
-    return inside(odd, odd.filter("id % 5 = 0"), asked(p))
-
-
-@query(ORACLE["v07_support"].replace(" and a.id % 20 = 0", " and a.id % 2 = 0").replace(" and a.id % 5 = 0", ""))
-def v07_support_all(spark, d):
     """Fitted on every odd row and scored on every even one."""
     p = pts(spark, d)
     odd = p.filter("id % 2 = 1")

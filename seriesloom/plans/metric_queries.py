@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import statistics as st
@@ -132,24 +133,80 @@ def v04_fisher_interval(spark, d):
     return g.select(*BY, rnd(end(-1)).alias("lo"), rnd(end(1)).alias("hi"))
 
 
-@query("""with x as (select label, unnest(range(8)) as k, unnest(embedding[1:8])::double as v, vec_id from embeddings), g as (select a.label, a.k as axis, b.k as feature, corr(a.v, b.v) as r from x a join x b using (label, vec_id) where a.k < b.k group by all)
-select label, axis, feature, round(r, 6) + 0.0 as r from g qualify row_number() over (partition by label, axis order by abs(round(r, 6)) desc, feature) <= 3""")
+def correlations(spark, d) -> DataFrame:
+    """label, a, b, r, n: correlation of every two of the coordinates (a < b) within each label. Each task adds up sums and
+    products of its rows; only these meet."""
+
+    def partial(frames):
+        for df in frames:
+            for label, rows in df.groupby("label", dropna=False):
+                v = np.vstack(rows.v).astype(float)
+                yield pd.DataFrame({"label": [label], "n": [len(v)], "s": [v.sum(0)], "p": [(v.T @ v).ravel()]})
+
+    def joined(df: pd.DataFrame) -> pd.DataFrame:
+        n, s = df.n.sum(), np.sum(np.vstack(df.s), axis=0)
+        c = np.sum(np.vstack(df.p), axis=0).reshape(len(s), -1) / n - np.outer(s, s) / n**2
+        sd = np.sqrt(np.maximum(np.diag(c), 0))
+        i, j = np.triu_indices(len(s), 1)
+        with np.errstate(all="ignore"):
+            return pd.DataFrame({"label": df.label.iloc[0], "a": i, "b": j, "r": c[i, j] / (sd[i] * sd[j]), "n": n})
+
+    v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    return v.mapInPandas(partial, "label long, n long, s array<double>, p array<double>").groupBy("label").applyInPandas(joined, "label long, a long, b long, r double, n long")
+
+
+_R = """with x as (select label::bigint as label, unnest(range(64)) as k, unnest(embedding)::double as v, vec_id from embeddings), g as (select a.label, a.k as a, b.k as b, corr(a.v, b.v) as r, count(*) as n from x a join x b using (label, vec_id) where a.k < b.k group by all)"""
+
+
+@query(_R + """, t as (select *, row_number() over (partition by label, a order by abs(round(r, 6)) desc, b) as place from g),
+p as (select label, a as axis, b as feature, round(r, 6) + 0.0 as r, n, abs(r) > 0.3 as named, place from t) select label, axis, feature, r, named from p where place <= 3""")
 def v02_axis_correlations(spark, d):
-    e = table(spark, d, "embeddings")
-    v = lambda k: F.col("embedding")[k].cast("double")
-    # all correlations in one pass over the rows, without pairing rows
-    g = e.groupBy("label").agg(*[F.corr(v(a), v(b)).alias(f"r{a}_{b}") for a in range(8) for b in range(a + 1, 8)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("axis"), F.lit(b).cast("long").alias("feature"), rnd(F.col(f"r{a}_{b}")).alias("r")) for a in range(8) for b in range(a + 1, 8)]))
-    g = g.select("label", rows.alias("e")).select("label", "e.*")
+    """The three strongest correlations of each axis with later ones, by label, and whether they are strong enough to name it."""
     w = Window.partitionBy("label", "axis").orderBy(F.desc(F.abs("r")), "feature")
-    return g.withColumn("n", F.row_number().over(w)).filter("n <= 3").drop("n")
+    g = correlations(spark, d).select("label", F.col("a").alias("axis"), F.col("b").alias("feature"), rnd(F.col("r")).alias("r"))
+    return g.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("label", "axis", "feature", "r", (F.abs("r") > 0.3).alias("named"))
 
 
-@query("""with x as (select unnest(range(8)) as k, unnest(embedding[1:8])::double as v, vec_id from embeddings), g as (select a.k as a, b.k as b, corr(a.v, b.v) as r from x a join x b using (vec_id) where a.k < b.k group by all) select a, b from g where abs(r) > 0.05""")
+@query(_R + " select label, a, b from g where abs(r) > 0.2")
 def v05_collinear_pairs(spark, d):
-    v = lambda k: F.col("embedding")[k].cast("double")
-    g = table(spark, d, "embeddings").agg(*[F.corr(v(a), v(b)).alias(f"r{a}_{b}") for a in range(8) for b in range(a + 1, 8)])
-    return g.select(F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.col(f"r{a}_{b}").alias("r")) for a in range(8) for b in range(a + 1, 8)])).alias("e")).select("e.*").filter("abs(r) > 0.05").select("a", "b")
+    """Coordinates that go together, over all pairs of them within a label."""
+    return correlations(spark, d).filter("abs(r) > 0.2").select("label", "a", "b")
+
+
+@query()
+def v05_collinear_groups(spark, d):
+    """Greedy groups: coordinates in order, each with those after it that go with it and belong to no group yet. Pairs of
+    coordinates of one label meet, never rows."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        taken, rows = set(), []
+        for a, own in df.sort_values(["a", "b"]).groupby("a"):
+            if a not in taken:
+                more = [b for b in own.b if b not in taken]
+                if more:
+                    taken |= {a, *more}
+                    rows += [(df.label.iloc[0], a, b) for b in (a, *more)]
+        return pd.DataFrame(rows, columns=["label", "seed", "member"])
+
+    return v05_collinear_pairs(spark, d).groupBy("label").applyInPandas(run, "label long, seed long, member long")
+
+
+@query()
+def v02_false_discovery(spark, d):
+    """Correlations of coordinates within each label with their p-values (normal scores), corrected for false discoveries,
+    without those between collinear coordinates."""
+    g = correlations(spark, d).filter("abs(r) <= 0.95 and n > 3")
+    z = F.abs(F.atanh("r")) * F.sqrt(F.col("n") - 3)
+
+    def tail(frames):
+        for df in frames:
+            yield df.assign(p=[math.erfc(v / math.sqrt(2)) for v in df.z]).drop(columns="z")
+
+    p = g.withColumn("z", z).select("label", "a", "b", "r", "z").mapInPandas(tail, "label long, a long, b long, r double, p double")
+    w = Window.partitionBy("label").orderBy("p", "a", "b")
+    x = p.withColumn("k", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy("label")))
+    q = F.min(F.col("p") * F.col("m") / F.col("k")).over(Window.partitionBy("label").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    return x.withColumn("q", F.least(F.lit(1.0), q)).filter("q < 0.05").select("label", "a", "b", "r", "p", "q")
 
 
 @query(S + """, h as (select *, pos > count(*) over (partition by key, vintage) / 2 as late from s), r as (select key, vintage, late, rank() over (partition by key, vintage order by x) + (count(*) over (partition by key, vintage, x) - 1) / 2.0 as rk from h)
@@ -177,7 +234,7 @@ def v12_ellipses(spark, d):
     return c.select(*BY, "late", "n", F.round(F.sqrt(F.greatest(mid + arm, F.lit(0.0))), 5).alias("major"), F.round(F.sqrt(F.greatest(mid - arm, F.lit(0.0))), 4).alias("minor"))
 
 
-_FLIP = """, n as (select a.src, a.tgt, a.w as f, b.w as g from e a join e b on a.src = b.tgt and a.tgt = b.src where a.src < a.tgt), r as (select rep, src, tgt, case when (rep * 7919 + substr(src, 8)::bigint * 104729 + substr(tgt, 8)::bigint * 1299709) % 2147483647 % 2 = 0 or rep = 0 then f else g end as f, case when (rep * 7919 + substr(src, 8)::bigint * 104729 + substr(tgt, 8)::bigint * 1299709) % 2147483647 % 2 = 0 or rep = 0 then g else f end as g from n, range(201) t(rep)),
+_FLIP = """, n as (select a.src, a.tgt, a.w as f, b.w as g from e a join e b on a.src = b.tgt and a.tgt = b.src where a.src < a.tgt), r as (select rep, src, tgt, case when (rep * 7919 + substr(src, 8)::bigint * 104729 + substr(tgt, 8)::bigint * 1299709) % 2147483647 % 2 = 0 or rep = 0 then f else g end as f, case when (rep * 7919 + substr(src, 8)::bigint * 104729 + substr(tgt, 8)::bigint * 1299709) % 2147483647 % 2 = 0 or rep = 0 then g else f end as g from n, range(2001) t(rep)),
 x as (select rep, src as node, f - g as net from r union all select rep, tgt, g - f from r), s as (select rep, node, sum(net) as net from x group by all), q as (select rep, sum(abs(net)) as q from s group by rep)"""
 
 
@@ -186,7 +243,7 @@ def r02_direction_flip_null(spark, d):
     """Net-flow statistic against edge-direction flips: replicates are exploded per edge and aggregated."""
     e = edges(spark, d)
     back = e.select(F.col("src").alias("tgt"), F.col("tgt").alias("src"), F.col("w").alias("g"))
-    n = e.withColumnRenamed("w", "f").join(back, ["src", "tgt"]).filter("src < tgt").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(200))))
+    n = e.withColumnRenamed("w", "f").join(back, ["src", "tgt"]).filter("src < tgt").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2000))))
     num = lambda c: F.substring(c, 8, 10).cast("long")
     keep = ((F.col("rep") * 7919 + num("src") * 104729 + num("tgt") * 1299709) % 2147483647 % 2 == 0) | (F.col("rep") == 0)
     net = F.when(keep, F.col("f") - F.col("g")).otherwise(F.col("g") - F.col("f"))
@@ -222,15 +279,19 @@ def v13_surrogate_score(spark, d):
 # --- p-values on aggregated rows --------------------------------------------------------------------------------
 
 
-@query()
+_TERM = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))"
+
+
+@query(PRED + f""", g as (select key, vintage, sum((sign(round(y - base, 6)) = sign(round(yhat - base, 6)))::int)::bigint as hits, count(*) as n from p where yhat is not null group by all)
+select key, vintage, hits, n, round(least(1, 2 * (select sum({_TERM}) from range(least(hits, n - hits) + 1) r(k))), 6) as p from g""")
 def u09_sign_tests(spark, d):
-    """Exact two-sided sign test of directional hits, one aggregated row for each series."""
-    hit = (F.signum(F.col("y") - F.col("base")) == F.signum(F.col("yhat") - F.col("base"))).cast("long")
-    g = predictions(spark, d).groupBy(*BY).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    """Exact two-sided sign test of directional hits: twice the tail of the binomial with one half, 1 at most."""
+    hit = (F.signum(F.round(F.col("y") - F.col("base"), 6)) == F.signum(F.round(F.col("yhat") - F.col("base"), 6))).cast("long")
+    g = predictions(spark, d).filter("yhat is not null").groupBy(*BY).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
 
     def run(frames):
         for df in frames:
-            yield df.assign(p=[st.sign_test(int(h), int(n)) for h, n in zip(df.hits, df.n)])
+            yield df.assign(p=[round(st.sign_test(int(h), int(n)), 6) for h, n in zip(df.hits, df.n)])
 
     return g.mapInPandas(run, "key string, vintage int, hits long, n long, p double")
 

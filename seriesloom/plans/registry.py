@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seriesloom.plans import cloud_queries, data_quality, kernel_queries, metric_queries, series_queries
+from seriesloom.plans import cloud_queries, data_quality, kernel_queries, metric_queries, series_queries, transport_queries
 
-MODULES = (data_quality, series_queries, cloud_queries, metric_queries, kernel_queries)
+MODULES = (data_quality, series_queries, cloud_queries, metric_queries, kernel_queries, transport_queries)
 
 
 def queries() -> dict:

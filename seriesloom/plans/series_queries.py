@@ -10,6 +10,7 @@ from seriesloom.operators import series as sr
 from seriesloom.operators.series import BY
 from seriesloom.plans.data_quality import _SPLIT
 from seriesloom.runtime import table
+from seriesloom.sources import registry as re
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,8 +47,8 @@ def ser(spark, d):
 
 @query(_SPLIT + "select j.file_name, line_id, try_cast(a[1:10] as date) as date, try_cast(b as double) as value from j where reason is null")
 def a01_dated_scan(spark, d):
-    lines = table(spark, d, "series_lines")
-    return lq.data_lines(lines).select("line_id", "file_name").join(lq.loaded_lines(lines), "line_id")
+    ok = lq.judged_lines(lq.data_lines(table(spark, d, "series_lines")), keep=("file_name",)).filter("reason is null")
+    return ok.select("file_name", "line_id", lq.day_of(F.col("date_text")).alias("date"), F.col("value_text").try_cast("double").alias("value"))
 
 
 @query(_SPLIT + "select line_id, try_cast(b as double) as value from j where reason is null")
@@ -77,6 +78,25 @@ def a09_findings_scan(spark, d):
     return e.groupBy("run", F.round(F.get_json_object("body", "$.estimates.level").try_cast("double"), 9).alias("level")).agg(F.count("*").alias("n"))
 
 
+@query("select vec_id, len(embedding) as width, label, round(list_sum(list_transform(embedding, lambda v: v::double)), 6) as total from embeddings")
+def a08_feature_scan(spark, d):
+    """Feature vectors with their width, label and sum."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("width"), "label", rnd(total).alias("total"))
+
+
+@query(re.laws_sql())
+def a14_laws(spark, d):
+    """The registered laws, their members in order and how each is aggregated within a month."""
+    return re.laws(spark)
+
+
+@query(re.domains_sql())
+def a15_domains(spark, d):
+    """The registered domains, their members and which enter as log changes."""
+    return re.domains(spark)
+
+
 @query("select vec_id, round(list_max(list_transform(embedding, lambda v: abs(v::double))), 6) as top from embeddings where list_max(list_transform(embedding, lambda v: abs(v::double))) > 1e-3")
 def a10_cost_scan(spark, d):
     top = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
@@ -224,6 +244,23 @@ def c03_frequency_and_controls(spark, d):
     return x.filter("corpus or control")
 
 
+_QUALITY = "n_points >= 200 and cost_max > 1e-3 and isfinite(cost_max)"
+
+
+@query(_L + f" select idx, source, timescale from l where source in ('bis', 'boe') and timescale in ('annual', 'quarterly', 'monthly') and {_QUALITY}")
+def c04_control_set(spark, d):
+    """Control sources that pass the quality and the frequency rule."""
+    x = labels(spark, d).filter(F.col("source").isin("bis", "boe") & F.col("timescale").isin("annual", "quarterly", "monthly"))
+    return x.filter("n_points >= 200 and cost_max > 1e-3 and not isnan(cost_max)").select("idx", "source", "timescale")
+
+
+@query(_L + f" select idx, key, timescale from l where source not in ('bis', 'boe', 'yahoo') and timescale in ('annual', 'quarterly', 'monthly') and {_QUALITY}")
+def c05_all_frequencies(spark, d):
+    """The three rules together, every variant of a series kept."""
+    x = labels(spark, d).filter(~F.col("source").isin("bis", "boe", "yahoo") & F.col("timescale").isin("annual", "quarterly", "monthly"))
+    return x.filter("n_points >= 200 and cost_max > 1e-3 and not isnan(cost_max)").select("idx", "key", "timescale")
+
+
 @query(_L + " select idx, concept from l where source = 'wb' or (source = 'worldbank' and i in ('gdp', 'inflation') and n_points >= 60)")
 def c06_held_out(spark, d):
     return labels(spark, d).filter("source = 'wb' or (source = 'worldbank' and i in ('gdp', 'inflation') and n_points >= 60)").select("idx", "concept")
@@ -279,15 +316,6 @@ def c14_validators(spark, d):
 
 # --- joins -------------------------------------------------------------------------------------------------------
 
-_PAIR = S + ", a as (select key as pair, pos, date, x from s where vintage = 1), b as (select key as pair, pos, date, x from s where vintage = 2)"
-
-
-def _pair(spark, d):
-    s = ser(spark, d)
-    one = lambda v: s.filter(F.col("vintage") == v).select(F.col("key").alias("pair"), "pos", "date", "x")
-    return one(1), one(2)
-
-
 _PAIRS = S + """, v as (select key, vintage, lag(vintage) over w as before, lead(vintage) over w as after from (select distinct key, vintage from s) window w as (partition by key order by vintage)),
 a as (select key || '#' || vintage as pair, pos, date, x from s join v using (key, vintage) where after is not null or before is null), b as (select key || '#' || before as pair, pos, date, x from s join v using (key, vintage) where before is not null)"""
 
@@ -306,34 +334,19 @@ def pairs(spark, d):
     return one("after is not null or before is null", "vintage"), one("before is not null", "before")
 
 
-@query(_PAIR + " select pair, date_trunc('month', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('month', b.date)::date")
+@query(_PAIRS + " select pair, date_trunc('month', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('month', b.date)::date")
 def j01_align_monthly(spark, d):
-    return sr.align(*_pair(spark, d), "month")
-
-
-@query(ORACLE["j01_align_monthly"].replace(_PAIR, _PAIRS))
-def j01_align_monthly_all(spark, d):
     return sr.align(*pairs(spark, d), "month")
 
 
-@query(_PAIR + " select pair, date_trunc('quarter', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('quarter', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('quarter', b.date)::date")
+@query(_PAIRS + " select pair, date_trunc('quarter', b.date)::date as period, b.date, b.x as right_x, l.x as left_x from b join (select pair, date_trunc('quarter', date)::date as m, max_by(x, pos) as x from a group by all) l using (pair) where l.m = date_trunc('quarter', b.date)::date")
 def j02_align_quarterly(spark, d):
-    return sr.align(*_pair(spark, d), "quarter")
-
-
-@query(ORACLE["j02_align_quarterly"].replace(_PAIR, _PAIRS))
-def j02_align_quarterly_all(spark, d):
     return sr.align(*pairs(spark, d), "quarter")
 
 
-@query(_PAIR + """, u as (select pair, date_trunc('quarter', date)::date as q, avg(x) as x from a group by all), g as (select pair, date_trunc('quarter', date)::date as q, max_by(x, pos) as x from b group by all)
+@query(_PAIRS + """, u as (select pair, date_trunc('quarter', date)::date as q, avg(x) as x from a group by all), g as (select pair, date_trunc('quarter', date)::date as q, max_by(x, pos) as x from b group by all)
 select pair, q as quarter, round(u.x - lag(u.x) over w, 10) + 0.0 as du, round(100 * (ln(g.x) - ln(lag(g.x, 4) over w)), 10) + 0.0 as growth from u join (select pair, q, case when x > 0 then x end as x from g) g using (pair, q) window w as (partition by pair order by q)""")
 def j03_aggregate_then_join(spark, d):
-    return aggregated(*_pair(spark, d))
-
-
-@query(ORACLE["j03_aggregate_then_join"].replace(_PAIR, _PAIRS))
-def j03_aggregate_then_join_all(spark, d):
     return aggregated(*pairs(spark, d))
 
 
@@ -344,14 +357,9 @@ def aggregated(a, b):
     return u.join(g, ["pair", "quarter"]).select("pair", "quarter", rnd(F.col("u") - F.lag("u").over(w), 10).alias("du"), rnd(100 * (F.ln("g") - F.ln(F.lag("g", 4).over(w))), 10).alias("growth"))
 
 
-@query(_PAIR + """, l as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all), r as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from b group by all)
+@query(_PAIRS + """, l as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from a group by all), r as (select pair, date_trunc('month', date)::date as m, max_by(x, pos) as x from b group by all)
 select coalesce(l.pair, r.pair) as pair, coalesce(l.m, r.m) as month, l.x as left_x, r.x as right_x from l full join r on l.pair = r.pair and l.m = r.m""")
 def j04_full_outer_months(spark, d):
-    return full_months(*_pair(spark, d))
-
-
-@query(ORACLE["j04_full_outer_months"].replace(_PAIR, _PAIRS))
-def j04_full_outer_months_all(spark, d):
     return full_months(*pairs(spark, d))
 
 
@@ -550,7 +558,7 @@ def w07_rank(spark, d):
     return e.select("src", "tgt", F.rank().over(Window.partitionBy("src").orderBy(F.desc("w"))).alias("r"))
 
 
-@query("select label, k, round(sum(v) over (partition by label order by k) / sum(v) over (partition by label), 6) as share from (select label, unnest(range(64)) as k, unnest(embedding)::double as v from embeddings) t(label, k, v0), lateral (select v0 * v0 as v) qualify true" if False else "with v as (select label, unnest(range(64)) as k, unnest(embedding)::double as v from embeddings), e as (select label, k, sum(v * v) as v from v group by all) select label, k, round(sum(v) over (partition by label order by k) / sum(v) over (partition by label), 6) as share from e")
+@query("with v as (select label, unnest(range(64)) as k, unnest(embedding)::double as v from embeddings), e as (select label, k, sum(v * v) as v from v group by all) select label, k, round(sum(v) over (partition by label order by k) / sum(v) over (partition by label), 6) as share from e")
 def w08_cumulative_share(spark, d):
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", F.col("k").cast("long").alias("k")).agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("v"))
     w = Window.partitionBy("label").orderBy("k")

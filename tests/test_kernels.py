@@ -23,7 +23,7 @@ def test_delay_vectors_and_parameters():
     assert np.isclose(em.average_mutual_information(x, 5, 8, bias=False)[2], mi)
     assert em.first_minimum([5, 4, 3, 4, 2]) == 3
     assert em.first_minimum([3, 2, 1]) == 3 and em.first_minimum([3, 2, 1], fallback=3) == 3
-    tau, dim, v = em.embed(ge.family("lorenz", 1500, 1))
+    tau, dim, v = em.embed(ge.family("lorenz_sigma10", 3000, 1)[::5])
     assert dim in (2, 3, 4) and np.allclose(v.std(1), 1)
     assert (em.row_standard(np.ones((2, 3))) == 0).all()
 
@@ -74,6 +74,86 @@ def test_transport():
     assert np.allclose(bary, bary.T) and obj < 0.05
 
 
+def brute_loops(d):
+    """Bars of loops by plain reduction of the boundary matrix."""
+    n, limit = len(d), d.max(1).min()
+    edges = sorted((d[a, b], a, b) for a, b in itertools.combinations(range(n), 2) if d[a, b] <= limit)
+    place = {(a, b): k for k, (_, a, b) in enumerate(edges)}
+    pivots, bars = {}, []
+    for t, a, b, c in sorted((max(d[a, b], d[a, c], d[b, c]), a, b, c) for a, b, c in itertools.combinations(range(n), 3)):
+        column = {place[e] for e in ((a, b), (a, c), (b, c)) if e in place} if t <= limit else set()
+        while column and max(column) in pivots:
+            column = column ^ pivots[max(column)]
+        if column:
+            pivots[max(column)] = column
+            if t > edges[max(column)][0]:
+                bars.append(t - edges[max(column)][0])
+    return sorted(bars)
+
+
+def test_loops_equal_plain_reduction():
+    rng = np.random.default_rng(0)
+    for k in range(30):
+        v = rng.normal(size=(rng.integers(5, 24), 2))
+        v = np.unique(np.round(v * 2) if k % 3 == 0 else v, axis=0)  # many equal distances every third time
+        if len(v) >= 4:
+            b = tp.loop_bars(gm.distances(v))
+            assert np.allclose(sorted(b[:, 1] - b[:, 0]), brute_loops(gm.distances(v)))
+
+
+def test_exact_transport():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 6):
+        c = rng.normal(size=(n, n))
+        assert np.isclose(c[np.arange(n), tr.assignment(c)].sum(), min(c[np.arange(n), list(p)].sum() for p in itertools.permutations(range(n))))
+    a = tr.unit_max(gm.distances(rng.normal(size=(15, 2))))
+    p = rng.permutation(15)
+    t, loss, done = tr.exact_plan(a[np.ix_(p, p)], a)
+    assert done and np.allclose(t.sum(0), 1 / 15) and np.allclose(t.sum(1), 1 / 15) and loss <= tr.gw_plan(a[np.ix_(p, p)], a, 0.02)[1] + 1e-9
+    stack = np.array([tr.unit_max(gm.distances(rng.normal(size=(15, 2)))) for _ in range(5)])
+    t, loss, _ = tr.gw_plans(stack, a, 0.02)
+    for x, y, z in zip(stack, t, loss):
+        assert np.isclose(tr.gw_plan(x, a, 0.02)[1], z, atol=1e-6) and np.allclose(y.sum(1), 1 / 15, atol=1e-5)
+    assert tr.plan_or_exact(a, a, 0.02)[1] == "entropic" and tr.pair_distances(stack[:2]).shape == (2, 2)
+    b, loss, eps = tr.pair_barycenter(stack[:2], 15, rounds=2, restarts=1)
+    assert eps == 0.01 and np.allclose(b, b.T) and (np.diag(b) == 0).all()
+    cloud = rng.normal(size=(15, 2))
+    y = tr.projected_states(cloud, np.eye(15) / 15, cloud, cloud)
+    assert np.allclose(y, cloud) and (tr.projected_states(cloud, np.zeros((15, 15)), cloud, cloud) == 0).all()
+
+
+def test_domains_cover_new_points():
+    rng = np.random.default_rng(6)
+    blobs = np.vstack([rng.normal(size=(40, 3)) * 0.2 + c for c in ([0, 0, 0], [6, 0, 0], [0, 6, 0])])
+    m = cu.Domains(blobs, np.random.default_rng(1), reps=3)
+    found = m.assign(np.vstack([rng.normal(size=(10, 3)) * 0.2 + c for c in ([0, 0, 0], [6, 0, 0], [0, 6, 0])]))
+    if m.count == 3:
+        assert cu.adjusted_rand(found, np.repeat([0, 1, 2], 10)) == 1
+    assert len(found) == 30 and cu.leading_gap([0.9, 0.88, 0.2, 0.1]) == (3, 0.88 / 0.2)
+
+
+def test_remaining_statistics():
+    rng = np.random.default_rng(7)
+    t, p, always = st.paired_t([2.0, 3, 4, 5.5], [1, 2, 3, 4])
+    assert np.isclose(t, 9.0) and p < 0.01 and always
+    pts = rng.normal(size=(400, 2)) @ np.diag([3.0, 1.0])
+    (a, b), (c, e), _ = st.ellipse_intervals(pts, rng, 300)
+    major, minor, _ = st.ellipse(pts)
+    assert a < major < b and c < minor < e and st.ellipse_intervals(pts[:2], rng) == [(0.0, 0.0)] * 3
+    x = rng.normal(size=400)
+    assert st.unit_root(x)[1] < 0.01 < 0.1 < st.unit_root(np.cumsum(x))[1] and math.isnan(st.unit_root(np.ones(50))[0])
+    d = gm.distances(rng.random((300, 2)))
+    assert abs(gm.gated_correlation_dimension(d)[0] - 2) < 0.4
+    assert gm.spectrum_profile([1, 0.9, 0.8, 0.1, 0.09, 0.08])[0] == 3 and gm.spectral_diagnosis([5, 1, 1, 1], 100, 4)[0] == "split"
+    coords, values, pick = gm.landmark_map(rng.normal(size=(60, 3)), 3, landmarks=30)
+    assert coords.shape == (60, 3) and len(pick) == 30
+    assert np.isclose(gm.matrix_distances([np.eye(3), np.zeros((3, 3))])[0, 1], 0) and np.isclose(gm.median_scaled(rng.normal(size=(9, 2)))[0, 0], 0)
+    plans = rng.dirichlet(np.ones(6), 5)
+    assert np.allclose(gm.gram_hellinger(plans), gm.distances(np.sqrt(plans)), atol=1e-7)
+    b = de.bundle(x, em.embed(x)[2], 1, 3)
+    assert list(b) == de.SLOTS and len(b) == 16 and np.isfinite(b["loop_score"])
+
+
 def test_topology():
     th = np.linspace(0, 2 * np.pi, 41)[:-1]
     ring = np.c_[np.cos(th), np.sin(th)]
@@ -126,8 +206,8 @@ def test_descriptors_clusters_and_forecasts():
     z = rng.normal(size=(50, 2))
     beta, c = fo.ridge(z, z @ [1.0, -2.0] + 3, 1e-9)
     assert np.allclose(beta, [1, -2]) and np.isclose(c, 3)
-    y = ge.family("autoregression", 400, 7)
-    assert abs(fo.autoregression(y, 1) - 0.9 * y[-1]) < 0.5
+    y = ge.family("ar1_phi095", 400, 7)
+    assert abs(fo.autoregression(y, 1) - 0.95 * y[-1]) < 0.5
     mse = {}
     for m, _, _, a, p, _ in fo.ladder(y[:250]):
         mse.setdefault(m, []).append((a - p) ** 2)

@@ -31,7 +31,7 @@ def test_documents_logs_and_store(spark, tmp_path):
     fs.write_corpus(want.selectExpr("id", "id % 2 as concept"), str(tmp_path / "corpus"))
     assert spark.read.parquet(str(tmp_path / "corpus")).filter("concept = 1").count() == 2
     with pytest.raises(FileNotFoundError, match="run the build"):
-        fs.require(str(tmp_path / "nope"), "run the build")
+        fs.require(spark, str(tmp_path / "nope"), "run the build")
 
 
 def test_stream_equals_batch(spark, sf_dir):

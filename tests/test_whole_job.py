@@ -19,14 +19,14 @@ from seriesloom.plans.registry import oracle_sql, queries
 
 @pytest.mark.parametrize("name", ["h08_mediated_coupling", "g14_medoid", "t08_within_between", "v07_support"])
 def test_all_rows_take_part(spark, sf_dir, name):
-    ok, said = compare(spark, queries()[f"{name}_all"], oracle_sql()[f"{name}_all"], sf_dir)
+    ok, said = compare(spark, queries()[name], oracle_sql()[name], sf_dir)
     assert ok, said
-    assert "% 20" not in oracle_sql()[f"{name}_all"]
+    assert "% 20" not in oracle_sql()[name]
 
 
 def test_all_plans_are_coupled(spark, sf_dir):
     n = duckdb.sql(f"select count(*) from '{sf_dir}/embeddings.parquet' where embedding is not null").fetchall()[0][0]
-    assert queries()["h08_mediated_coupling_all"](spark, sf_dir).select("id").distinct().count() == n
+    assert queries()["h08_mediated_coupling"](spark, sf_dir).select("id").distinct().count() == n
 
 
 @pytest.mark.parametrize("few", [10, 100_000])
@@ -42,9 +42,9 @@ def test_median_distances(spark, few):
 
 @pytest.mark.parametrize("name", ["j01_align_monthly", "j02_align_quarterly", "j03_aggregate_then_join", "j04_full_outer_months", "emb12_joint_embedding"])
 def test_all_vintages_are_paired(spark, sf_dir, name):
-    ok, said = compare(spark, queries()[f"{name}_all"], oracle_sql()[f"{name}_all"], sf_dir)
+    ok, said = compare(spark, queries()[name], oracle_sql()[name], sf_dir)
     assert ok, said
-    assert "vintage = 1" not in oracle_sql()[f"{name}_all"]
+    assert "vintage = 1" not in oracle_sql()[name]
 
 
 @pytest.mark.parametrize("name", ["emb13_joint_map", "s05_coupling"])
@@ -54,7 +54,7 @@ def test_all_vintages_are_coupled(spark, tmp_path, name):
     spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
     got = queries()[name](spark, str(tmp_path)).toPandas()
     assert set(zip(got.key, got["first"])) == {("a", 1), ("a", 2), ("a", 4), ("b", 1)}
-    value = got["eigenvalue" if name == "emb13_joint_map" else "information"]
+    value = got["eigenvalue" if name == "emb13_joint_map" else "mi"]
     assert value[got.key == "a"].notna().all() and value[got.key == "b"].isna().all()
 
 
@@ -65,7 +65,7 @@ def test_a_degenerate_cloud_keeps_its_row(spark, tmp_path):
     rows = [(f"{v}{i:03}", "a", v, day + datetime.timedelta(i), f(i)) for v, f in value.items() for i in range(90)]
     spark.createDataFrame(rows, "obs_id string, key string, vintage int, date date, value double").write.parquet(str(tmp_path / "readings.parquet"))
     row = queries()["s05_coupling"](spark, str(tmp_path)).toPandas().iloc[0]
-    assert row["first"] == 1 and np.isnan(row.information) and "cost matrix" in row.error
+    assert row["first"] == 1 and np.isnan(row.mi) and row.error
 
 
 def test_the_ladder_takes_the_whole_series(spark, tmp_path):
