@@ -140,6 +140,13 @@ class Domains:
         self.labels = own
         self.centres = np.array([coords[own == c].mean(0) for c in range(self.count)])
 
+    @classmethod
+    def from_state(cls, state):
+        """The object again from its plain attributes."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def assign(self, v):
         """Domain of each point: the nearest centre in the extended coordinates."""
         return distances(nystrom(self.model, v, k=self.width), self.centres).argmin(1)

@@ -23,11 +23,15 @@ def cloud(df: DataFrame, idx: str = "vec_id", vector: str = "embedding", label:
     return df.filter(F.col(idx).isNotNull() & F.col(vector).isNotNull()).filter(ok).select(F.col(idx).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
 
 
-def against(points: DataFrame, queries: DataFrame, kernel, schema: str, rows: int = BLOCK) -> DataFrame:
-    """Run ``kernel(query ids, query matrix, query labels, point ids, ...)`` on every pair of blocks."""
+def against(points: DataFrame, queries: DataFrame, kernel, schema: str, rows: int = BLOCK, once: bool = False) -> DataFrame:
+    """Run ``kernel(query ids, query matrix, query labels, point ids, ...)`` on every pair of blocks. With ``once``
+    (points against themselves) every two blocks meet one time only: half the copies and half the work; ``same_block``
+    tells a block that meets itself."""
     n_p, n_q = (max(1, -(-x.count() // rows)) for x in (points, queries))
-    side = lambda df, s, own, other, n, m: df.select("id", "v", "label", F.lit(s).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-    both = side(points, 0, "pb", "qb", n_p, n_q).unionByName(side(queries, 1, "qb", "pb", n_q, n_p))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    side = lambda df, s, own, other, n, lo, hi: df.select("id", "v", "label", F.lit(s).alias("side"), block(n).alias(own), F.explode(F.sequence(lo, hi)).alias(other))
+    first, last = (F.lit(0), block(n_p)) if once else (F.lit(0), F.lit(n_q - 1))
+    both = side(points, 0, "pb", "qb", n_p, first, last).unionByName(side(queries, 1, "qb", "pb", n_q, block(n_q) if once else F.lit(0), F.lit(n_p - 1)))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         q, p = df[df.side == 1], df[df.side == 0]
@@ -39,6 +43,11 @@ def against(points: DataFrame, queries: DataFrame, kernel, schema: str, rows: in
     return both.groupBy("qb", "pb").applyInPandas(run, schema)
 
 
+def same_block(qi: np.ndarray, pi: np.ndarray) -> bool:
+    """Whether a block meets itself."""
+    return len(qi) == len(pi) and set(qi.tolist()) == set(pi.tolist())
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclid") -> DataFrame:
     """i, j, d, rank: the k nearest other points of each query; ties go to the lower id."""
 
@@ -58,13 +67,14 @@ def median_distances(points: DataFrame, bins: int = 4096, few: int = 100_000) ->
     medians down until few distances are left; only these are returned, so no pass emits all pairs."""
 
     def split(qi, q, ql, pi, p, pl):
-        d, same, once = distances(q, p), ql[:, None] == pl[None], qi[:, None] < pi[None]
+        d, same = distances(q, p), ql[:, None] == pl[None]
+        once = qi[:, None] < pi[None] if same_block(qi, pi) else np.ones(d.shape, bool)
         return [(k, d[once & (same == k)]) for k in (True, False)]
 
     def ends(*block):
         return pd.DataFrame([(k, len(d), d.max() if len(d) else 0.0) for k, d in split(*block)], columns=["same", "n", "hi"])
 
-    found = {r.same: r for r in against(points, points, ends, "same boolean, n long, hi double").groupBy("same").agg(F.sum("n").alias("n"), F.max("hi").alias("hi")).collect()}
+    found = {r.same: r for r in against(points, points, ends, "same boolean, n long, hi double", once=True).groupBy("same").agg(F.sum("n").alias("n"), F.max("hi").alias("hi")).collect()}
     # distances of another pass may differ in the last bits, so a range is a little wider than its bins
     ranges = {k: (-1e-9, r.hi * (1 + 1e-9) + 1e-9) for k, r in found.items() if r.n}
     left = {k: found[k].n for k in ranges}
@@ -82,7 +92,7 @@ def median_distances(points: DataFrame, bins: int = 4096, few: int = 100_000) ->
                     rows += [(k, int(b), int(at[b])) for b in np.flatnonzero(at)]
             return pd.DataFrame(rows, columns=["same", "bin", "n"])
 
-        seen = against(points, points, counts, "same boolean, bin int, n long").groupBy("same", "bin").agg(F.sum("n").alias("n")).toPandas()
+        seen = against(points, points, counts, "same boolean, bin int, n long", once=True).groupBy("same", "bin").agg(F.sum("n").alias("n")).toPandas()
         for k in list(ranges):
             at = np.zeros(bins + 2, int)
             own = seen[seen.same == k]
@@ -101,7 +111,7 @@ def median_distances(points: DataFrame, bins: int = 4096, few: int = 100_000) ->
                 rows += [(k, float(x), int(n)) for x, n in zip(*np.unique(d[(d >= lo) & (d <= hi)], return_counts=True))]
         return pd.DataFrame(rows, columns=["same", "d", "n"])
 
-    e = against(points, points, rest, "same boolean, d double, n long").groupBy("same", "d").agg(F.sum("n").alias("n")).toPandas().sort_values("d")
+    e = against(points, points, rest, "same boolean, d double, n long", once=True).groupBy("same", "d").agg(F.sum("n").alias("n")).toPandas().sort_values("d")
     out = []
     for k in ranges:
         own = e[e.same == k]
@@ -143,7 +153,7 @@ def kernel_sum(points: DataFrame, n: int = 40) -> DataFrame:
         pos = d[d > 0]
         return pd.DataFrame({"lo": [pos.min() if len(pos) else np.inf], "hi": [d.max() if len(d) else 0.0]})
 
-    r = against(points, points, ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    r = against(points, points, ends, "lo double, hi double", once=True).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
     if r.lo is None or not np.isfinite(r.lo) or r.hi <= 0:
         return points.sparkSession.createDataFrame([], "k int, eps double, ln_s double")
     lo, hi = r.lo**2 / 10, r.hi**2 * 10
@@ -151,9 +161,9 @@ def kernel_sum(points: DataFrame, n: int = 40) -> DataFrame:
 
     def sums(qi, q, ql, pi, p, pl):
         d2 = np.square(np.where(qi[:, None] == pi[None], 0.0, distances(q, p)))
-        return pd.DataFrame({"k": range(n), "eps": eps, "s": [np.exp(-d2 / e).sum() for e in eps]})
+        return pd.DataFrame({"k": range(n), "eps": eps, "s": [np.exp(-d2 / e).sum() * (1 if same_block(qi, pi) else 2) for e in eps]})
 
-    return against(points, points, sums, "k int, eps double, s double").groupBy("k", "eps").agg(F.ln(F.sum("s")).alias("ln_s"))
+    return against(points, points, sums, "k int, eps double, s double", once=True).groupBy("k", "eps").agg(F.ln(F.sum("s")).alias("ln_s"))
 
 
 def steepest(sums: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ def label_dimensions(points: DataFrame, n: int = 40) -> DataFrame:
         rows = [(int(k), float(d[o][d[o] > 0].min(initial=np.inf)), float(d[o].max(initial=0.0))) for k, d, o in pairs(q, ql, p, pl, qi, pi)]
         return pd.DataFrame(rows, columns=["label", "lo", "hi"])
 
-    found = against(points, points, ends, "label long, lo double, hi double").groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("hi > 0").collect()
+    found = against(points, points, ends, "label long, lo double, hi double", once=True).groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("hi > 0").collect()
     widths = {r.label: np.geomspace(r.lo / 10, r.hi * 10, n) for r in found}
 
     def sums(qi, q, ql, pi, p, pl):
@@ -186,10 +196,10 @@ def label_dimensions(points: DataFrame, n: int = 40) -> DataFrame:
         for k, d, o in pairs(q, ql, p, pl, qi, pi):
             if int(k) in widths:
                 d = np.where(o, d, 0.0)
-                rows += [(int(k), j, float(e), float(np.exp(-d / e).sum())) for j, e in enumerate(widths[int(k)])]
+                rows += [(int(k), j, float(e), float(np.exp(-d / e).sum()) * (1 if same_block(qi, pi) else 2)) for j, e in enumerate(widths[int(k)])]
         return pd.DataFrame(rows, columns=["label", "k", "eps", "s"])
 
-    s = against(points, points, sums, "label long, k int, eps double, s double").groupBy("label", "k", "eps").agg(F.ln(F.sum("s")).alias("y"))
+    s = against(points, points, sums, "label long, k int, eps double, s double", once=True).groupBy("label", "k", "eps").agg(F.ln(F.sum("s")).alias("y"))
     w, x = Window.partitionBy("label").orderBy("k"), F.ln("eps")
     slope = (F.lead("y").over(w) - F.lag("y").over(w)) / (F.lead(x).over(w) - F.lag(x).over(w))
     top = s.withColumn("slope", slope).groupBy("label").agg((2 * F.max("slope")).alias("full"))

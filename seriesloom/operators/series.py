@@ -21,10 +21,21 @@ def whole(by: list[str] | None = None):
     return Window.partitionBy(*(BY if by is None else by))
 
 
+def finite(readings: DataFrame) -> DataFrame:
+    """key, vintage, date, x, obs_id of the readings with date and finite value."""
+    r = readings.filter("date is not null and value is not null and not isnan(value) and abs(value) < double('Infinity')")
+    return r.select(*BY, F.col("date").cast("date").alias("date"), F.col("value").alias("x"), "obs_id")
+
+
 def series(readings: DataFrame) -> DataFrame:
     """Readings with date and finite value, numbered from 1 by date and obs_id within each (key, vintage)."""
-    r = readings.filter("date is not null and value is not null and not isnan(value) and abs(value) < double('Infinity')")
-    return r.select(*BY, F.col("date").cast("date").alias("date"), F.col("value").alias("x"), "obs_id").withColumn("pos", F.row_number().over(Window.partitionBy(*BY).orderBy("date", "obs_id"))).drop("obs_id")
+    return finite(readings).withColumn("pos", F.row_number().over(Window.partitionBy(*BY).orderBy("date", "obs_id"))).drop("obs_id")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of much work over more tasks than cores: a fixed number of partitions, which adaptive planning, that looks at
+    bytes only, doesn't put together."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(by or BY))
 
 
 # --- projections -------------------------------------------------------------------------------

@@ -225,17 +225,19 @@ def m01_kernel_sum_dimension(spark, d):
     return cl.steepest(cl.kernel_sum(pts(spark, d))).select(F.round("dimension", 4).alias("dimension"))
 
 
-@query(KNN.format(where="", k=2) + ", r as (select i, min(d) filter (rank = 1) as r1, min(d) filter (rank = 2) as r2 from k group by i) select count(*) as n, round(count(*) / sum(ln(r2 / r1)), 5) as dimension from r where r1 > 1e-10")
+@query(KNN.format(where=" and a.id % 20 = 0", k=2) + ", r as (select i, min(d) filter (rank = 1) as r1, min(d) filter (rank = 2) as r2 from k group by i) select count(*) as n, round(count(*) / sum(ln(r2 / r1)), 5) as dimension from r where r1 > 1e-10")
 def m05_two_nn(spark, d):
+    """The two nearest of every point asked (id divisible by 20) among all points."""
     p = pts(spark, d)
-    r = cl.nearest(p, p, 2).groupBy("i").agg(F.min("d").alias("r1"), F.max("d").alias("r2")).filter("r1 > 1e-10")
+    r = cl.nearest(p, asked(p), 2).groupBy("i").agg(F.min("d").alias("r1"), F.max("d").alias("r2")).filter("r1 > 1e-10")
     return r.agg(F.count("*").alias("n"), F.round(F.count("*") / F.sum(F.ln(F.col("r2") / F.col("r1"))), 5).alias("dimension"))
 
 
-@query(KNN.format(where="", k=20) + ", r as (select i, max(d) as top from k group by i), e as (select k.i, 1 / avg(ln(top / d)) as m from k join r using (i) where rank between 5 and 19 and top > 1e-10 group by k.i) select round(avg(m), 5) as dimension from e")
+@query(KNN.format(where=" and a.id % 20 = 0", k=20) + ", r as (select i, max(d) as top from k group by i), e as (select k.i, 1 / avg(ln(top / d)) as m from k join r using (i) where rank between 5 and 19 and top > 1e-10 group by k.i) select round(avg(m), 5) as dimension from e")
 def m06_levina_bickel(spark, d):
+    """The 5th to 20th nearest of every point asked (id divisible by 20) among all points."""
     p = pts(spark, d)
-    k = cl.nearest(p, p, 20).withColumn("top", F.max("d").over(Window.partitionBy("i"))).filter("rank between 5 and 19 and top > 1e-10")
+    k = cl.nearest(p, asked(p), 20).withColumn("top", F.max("d").over(Window.partitionBy("i"))).filter("rank between 5 and 19 and top > 1e-10")
     return k.groupBy("i").agg((1 / F.avg(F.ln(F.col("top") / F.col("d")))).alias("m")).agg(F.round(F.avg("m"), 5).alias("dimension"))
 
 

@@ -90,8 +90,7 @@ def neighbours(spark, d):
     """Readings of every vintage of a key with those of the preceding one, under the earlier vintage as ``first``; a sole vintage stands alone."""
     s = ser(spark, d).select(*BY, "pos", "x")
     first = F.array_compact(F.array("before", F.when(F.col("after").isNotNull() | F.col("before").isNull(), F.col("vintage"))))
-    # the kernels cost far more than their few bytes, which adaptive coalescing would put into one task
-    return s.join(vintages(s), BY).select("key", F.explode(first).alias("first"), "vintage", "pos", "x").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "first")
+    return sr.spread(s.join(vintages(s), BY).select("key", F.explode(first).alias("first"), "vintage", "pos", "x"), "key", "first")
 
 
 @query()
@@ -421,14 +420,14 @@ def t05_adjusted_information(spark, d):
 
 
 def domain_models(spark, d):
-    """Domains of every label, found on its landmarks; one pickled model for each label, as rows."""
+    """Domains of every label, found on its landmarks; the plain arrays of each label's model in one row."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         v = np.vstack(df.sort_values("id").v)
         label = df.label.iloc[0]
         if len(v) < 20:
             return pd.DataFrame({"label": [label], "model": [None], "n": [len(v)]})
-        return pd.DataFrame({"label": [label], "model": [pickle.dumps(cu.Domains(v, np.random.default_rng(7)))], "n": [len(v)]})
+        return pd.DataFrame({"label": [label], "model": [pickle.dumps(vars(cu.Domains(v, np.random.default_rng(7))))], "n": [len(v)]})
 
     return cut(by_label(spark, d).groupBy("label").applyInPandas(run, "label long, model binary, n int"))
 
@@ -443,7 +442,7 @@ def t09_bandwidth_persistence(spark, d):
             rows = []
             for label, n, blob in zip(df.label, df.n, df.model):
                 if blob is not None:
-                    m = pickle.loads(blob)
+                    m = cu.Domains.from_state(pickle.loads(blob))
                     rows += [(label, n, k, c, g, m.count, m.width, m.run, m.agreement, m.agreement > 0.8) for k, c, g in m.rows]
             yield pd.DataFrame(rows, columns=["label", "n", "width", "count", "gap", "persistent", "best_width", "run", "agreement", "stable"])
 
@@ -465,7 +464,7 @@ def t12_domains(spark, d):
                 blob = df.model.loc[rows[0]]
                 if blob is not None:
                     if label not in known:
-                        known = {label: pickle.loads(blob)} if len(known) > 20 else known | {label: pickle.loads(blob)}
+                        known = {label: cu.Domains.from_state(pickle.loads(blob))} if len(known) > 20 else known | {label: cu.Domains.from_state(pickle.loads(blob))}
                     m = known[label]
                     out.loc[rows, ["k", "agreement"]] = [m.count, m.agreement]
                     out.loc[rows, "domain"] = m.assign(np.vstack(df.v.loc[rows]))
@@ -540,7 +539,7 @@ def made(spark, n, variants, seeds, f, schema):
             for k, v, s in zip(df.family, df.variant, df.seed):
                 yield pd.DataFrame(f(k, v, s, ge.family(k, n, s * 100_000 + list(ge.FAMILIES).index(k) * 100 + v)), columns=names)
 
-    return grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "family", "variant", "seed").mapInPandas(run, schema)
+    return sr.spread(grid, "family", "variant", "seed").mapInPandas(run, schema)
 
 
 def family_distances(name, x):

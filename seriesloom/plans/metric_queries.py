@@ -318,7 +318,7 @@ def grouped(spark, d, f, schema, least=60):
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         key, vintage = df["key"].iloc[0], df["vintage"].iloc[0]
-        x = df.sort_values("pos")["x"].to_numpy(float)
+        x = df.sort_values(["date", "obs_id"])["x"].to_numpy(float)
         ok, error, rows = True, None, []
         try:
             if len(x) < least:
@@ -333,9 +333,8 @@ def grouped(spark, d, f, schema, least=60):
         rows = rows or [[None] * len(names)]
         return pd.DataFrame([[key, vintage, *r, ok, error] for r in rows], columns=["key", "vintage", *names, "ok", "error"])
 
-    # a fixed number of partitions: the kernels cost far more than their few bytes, which adaptive coalescing would put into one task
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ser(spark, d).repartition(width, *BY).groupBy(*BY).applyInPandas(run, f"key string, vintage int, {schema}, ok boolean, error string")
+    rows = sr.spread(sr.finite(table(spark, d, "readings")))
+    return rows.groupBy(*BY).applyInPandas(run, f"key string, vintage int, {schema}, ok boolean, error string")
 
 
 def nan_to_none(v):

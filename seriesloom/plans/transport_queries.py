@@ -13,6 +13,7 @@ from seriesloom.functions import geometry as gm
 from seriesloom.functions import statistics as st
 from seriesloom.functions import transport as tr
 from seriesloom.operators import clouds as cl
+from seriesloom.operators import series as sr
 from seriesloom.plans.kernel_queries import LANDMARKS, family_distances, made, neighbours
 from seriesloom.plans.metric_queries import grouped, nan_to_none
 from seriesloom.plans.series_queries import BY, S, _PAIRS
@@ -66,11 +67,6 @@ def cost_matrices(spark, d) -> DataFrame:
     return cut(rows.join(unit, BY, "left"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of much work over all tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *BY)
-
-
 def summed(parts: DataFrame) -> DataFrame:
     """unit, restart, s, loss, n: partial sums of arrays added up; as many rows meet as there are partial results."""
 
@@ -88,7 +84,7 @@ def barycenters(costs: DataFrame, eps: float = EPS, restarts: int = RESTARTS, ro
     holds stacks of plans, never a unit.
     """
     spark = costs.sparkSession
-    members = cut(spread(costs.filter("ok and unit is not null").select(*BY, "unit", "c")))
+    members = cut(sr.spread(costs.filter("ok and unit is not null").select(*BY, "unit", "c")))
     units = sorted(r.unit for r in members.select("unit").distinct().collect())
     starts = [(u, r, [float(x) for x in tr.random_start(SUPPORTS, np.random.default_rng([k, r])).ravel()]) for k, u in enumerate(units) for r in range(restarts)]
     b = spark.createDataFrame(starts, "unit string, restart int, b array<double>")
@@ -165,7 +161,7 @@ def plans(spark, d, eps: float = EPS, folder: str | None = None) -> DataFrame:
                     status.append("ok" if good else "not finite")
             yield pd.DataFrame({"cache_key": df.cache_key, "t": t, "loss": loss, "converged": done, "status": status})
 
-    found = fi.resumed(wanted, folder or store(spark, "plans"), lambda todo: spread(todo).select("cache_key", "c", "b").mapInPandas(run, "cache_key string, t array<double>, loss double, converged boolean, status string"))
+    found = fi.resumed(wanted, folder or store(spark, "plans"), lambda todo: sr.spread(todo).select("cache_key", "c", "b").mapInPandas(run, "cache_key string, t array<double>, loss double, converged boolean, status string"))
     return wanted.select("cache_key", *BY, "unit").join(found, "cache_key")
 
 
@@ -220,7 +216,7 @@ def g03_robust_plans(spark, d):
                 rows.append((key, vintage, status, float(t.sum()), tr.objective(c, b, t), tr.plan_or_exact(c, b, EPS)[1]))
             yield pd.DataFrame(rows, columns=["key", "vintage", "status", "mass", "loss", "solver"])
 
-    return spread(x).mapInPandas(run, "key string, vintage int, status string, mass double, loss double, solver string")
+    return sr.spread(x).mapInPandas(run, "key string, vintage int, status string, mass double, loss double, solver string")
 
 
 @query()
@@ -237,7 +233,7 @@ def g05_exact_plans(spark, d):
                 rows.append((key, vintage, float(np.sqrt(max(loss, 0))), float(np.sqrt(max(e, 0))), int((t > 1e-9).sum()), done))
             yield pd.DataFrame(rows, columns=["key", "vintage", "exact", "entropic", "cells", "converged"])
 
-    return spread(x).mapInPandas(run, "key string, vintage int, exact double, entropic double, cells int, converged boolean")
+    return sr.spread(x).mapInPandas(run, "key string, vintage int, exact double, entropic double, cells int, converged boolean")
 
 
 @query()
@@ -300,15 +296,13 @@ def g15_projected_states(spark, d):
                 rows.append((key, vintage, len(y), [float(a) for a in y.mean(0)], [float(a) for a in y.std(0)]))
             yield pd.DataFrame(rows, columns=["key", "vintage", "n_states", "mean", "sd"])
 
-    return spread(p.join(clouds_, BY)).mapInPandas(run, "key string, vintage int, n_states int, mean array<double>, sd array<double>")
+    return sr.spread(p.join(clouds_, BY)).mapInPandas(run, "key string, vintage int, n_states int, mean array<double>, sd array<double>")
 
 
 @query()
 def k06_replicates(spark, d):
     """Bootstrap replicates of each series' mean, cached by content: series, metric, seed, replicates and block length
     name them, and a second run reads them."""
-    from seriesloom.operators import series as sr
-
     s = sr.series(table(spark, d, "readings")).groupBy(*BY).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("x")).filter(F.size("x") >= 20)
     wanted = s.withColumn("cache_key", fi.content_key(*BY, "x", F.lit("mean"), F.lit(7), F.lit(200), F.ceil(F.cbrt(F.size("x")))))
 
@@ -483,7 +477,7 @@ def s12_soft_routing(spark, d):
                     rows += [(key, vintage, u, float(a), float(b)) for u, a, b in zip(units, e, w / w.sum())]
             yield pd.DataFrame(rows, columns=["key", "vintage", "unit", "entropy", "weight"])
 
-    return spread(x).mapInPandas(run, "key string, vintage int, unit string, entropy double, weight double")
+    return sr.spread(x).mapInPandas(run, "key string, vintage int, unit string, entropy double, weight double")
 
 
 def multi_plans(spark, d) -> DataFrame:
@@ -518,7 +512,7 @@ def multi_plans(spark, d) -> DataFrame:
                         rows.append((key, vintage, o, u, plan.ravel(), h, bool(f), 1 - h / top if f else 0.0))
             yield pd.DataFrame(rows, columns=["key", "vintage", "own", "unit", "t", "entropy", "gated", "coupling"])
 
-    return cut(spread(x).mapInPandas(run, "key string, vintage int, own string, unit string, t array<double>, entropy double, gated boolean, coupling double"))
+    return cut(sr.spread(x).mapInPandas(run, "key string, vintage int, own string, unit string, t array<double>, entropy double, gated boolean, coupling double"))
 
 
 def multi(spark, d):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.runtime import shared_folder
+from seriesloom.runtime import cut, shared_folder
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +29,10 @@ def drain(df: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={k}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    result = spark.read.parquet(out)
+    # the result moves under a checkpoint, so that state and output can go
+    result = cut(spark.read.parquet(out))
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return result.drop("batch") if "batch" in result.columns else result
 
 

@@ -41,3 +41,36 @@ def test_stream_equals_batch(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     assert x21_stream_hourly(spark, sf_dir).agg({"n": "sum"}).first()[0] == e.count()
     assert x22_stream_delay_vectors(spark, sf_dir).count() == sum(max(r["count"] - 2, 0) for r in e.groupBy("user_id").count().collect())
+
+
+def test_roots_and_resumed_work(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("SERIES_ROOT", raising=False)
+    (tmp_path / "b").mkdir()
+    assert fs.first_root(spark, "SERIES_ROOT", str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "b")
+    (tmp_path / "c").mkdir()
+    monkeypatch.setenv("SERIES_ROOT", str(tmp_path / "c"))
+    assert fs.first_root(spark, "SERIES_ROOT", str(tmp_path / "b")) == str(tmp_path / "c")
+    monkeypatch.setenv("SERIES_ROOT", str(tmp_path / "gone"))
+    with pytest.raises(FileNotFoundError, match="SERIES_ROOT"):
+        fs.first_root(spark, "SERIES_ROOT", str(tmp_path / "gone"))
+    store, counted = str(tmp_path / "work"), []
+
+    def compute(todo):
+        counted.append(todo.count())
+        return todo.selectExpr("cache_key", "id * 2 as twice")
+
+    want = spark.range(6).withColumn("cache_key", fs.content_key("id"))
+    assert fs.resumed(want.filter("id < 4"), store, compute).count() == 4
+    assert sorted(r.twice for r in fs.resumed(want, store, compute).collect()) == [0, 2, 4, 6, 8, 10]
+    assert fs.resumed(want, store, compute).count() == 6 and counted == [4, 2]  # nothing is computed twice
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from seriesloom import runtime
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
