@@ -603,6 +603,21 @@ def f11_ladder(spark, d):
     return p.groupBy(*BY, "model").agg(F.count("y").alias("n"), (e("yhat") / F.count("y")).alias("mse"), F.when(e("base") > 1e-9, 1 - e("yhat") / e("base")).alias("r2_oos"), F.avg((F.signum("y") == F.signum("yhat")).cast("int")).alias("direction"), F.max("error").alias("error"))
 
 
+@query()
+def f11_gates(spark, d):
+    """Gates of the ladder for each series: errors of the ridge over those of every other model, which of them it beats, and
+    whether it has skill against the recursive mean, the right direction more often than not, and all of these."""
+    others = ["random_walk", "rolling_mean", "autoregression", "pca_ridge", "placebo", "shrunk"]
+    m = QUERIES["f11_ladder"](spark, d).filter("n > 0").groupBy(*BY).pivot("model", ["ridge", *others]).agg(F.first("mse").alias("mse"), F.first("r2_oos").alias("r2"), F.first("direction").alias("direction"))
+    ratio = {o: F.when(F.col(f"{o}_mse") > 1e-12, F.col("ridge_mse") / F.col(f"{o}_mse")) for o in others}
+    beats = {o: F.coalesce(r < 1, F.lit(False)) for o, r in ratio.items()}
+    skill, way = F.coalesce(F.col("ridge_r2") > 0, F.lit(False)), F.coalesce(F.col("ridge_direction") > 0.5, F.lit(False))
+    every = skill & way
+    for o in ("random_walk", "rolling_mean", "autoregression", "placebo", "shrunk"):
+        every = every & beats[o]
+    return m.select(*BY, *[ratio[o].alias(f"ratio_{o}") for o in others], *[beats[o].alias(f"beats_{o}") for o in others], F.col("ridge_r2").alias("r2_oos"), skill.alias("skill"), way.alias("direction"), every.alias("all_gates"))
+
+
 @query()
 def f07_random_forest(spark, d):
     """Random forest on lagged values over all series, scored on the last fifth of each."""

@@ -452,18 +452,35 @@ def e07_balanced_landmarks(spark, d):
     return x.orderBy("concept", sr.hash_order(F.col("idx"), 0), "idx").limit(150)
 
 
-@query(_L + f""", r as (select idx, source, i, row_number() over (partition by source, i order by {_HASH}, idx) as a from l where i is not null)
-select idx, source, i, a from r qualify a = 1 or row_number() over (partition by i, a > 1 order by {_HASH}, idx) <= 10""")
+@query(_L + f""", r as (select idx, source, i, {_HASH} as h, row_number() over (partition by source, i order by {_HASH}, idx) as a from l where i is not null and source is not null),
+z as (select (count(*) * 0.4)::bigint as target, count(distinct (source, i)) as pairs, count(distinct i) as n from r), k as (select greatest(target - pairs, 0) as rest, greatest(50, greatest(target - pairs, 0) // n) as cap from z),
+pool as (select idx, h, row_number() over (partition by i order by h, idx) as b from r where a > 1), fill as (select idx from pool, k where b <= cap qualify row_number() over (order by h, idx) <= rest)
+select idx, source, i, a = 1 as first from r where a = 1 or idx in (from fill)""")
 def e09_pair_balanced_sample(spark, d):
+    """One label of each source and indicator; then more up to 40 % of all, where no indicator gives more than its equal
+    share of what is missing (50 at least). The cut among the candidates is found by their hash, not by sorting them in
+    one place: only the wanted hash is looked for."""
     h = sr.hash_order(F.col("idx"), 0)
-    x = labels(spark, d).filter("i is not null").select("idx", "source", "i").withColumn("a", F.row_number().over(Window.partitionBy("source", "i").orderBy(h, "idx")))
-    return x.withColumn("b", F.row_number().over(Window.partitionBy("i", F.col("a") > 1).orderBy(h, "idx"))).filter("a = 1 or b <= 10").drop("b")
-
-
-@query(_L + f" select idx, concept, 'capped' as scheme from l where concept is not null qualify row_number() over (partition by concept order by {_HASH}, idx) <= 35 union all select idx, concept, 'equal' from l where concept is not null qualify row_number() over (partition by concept order by {_HASH}, idx) <= 5")
+    x = labels(spark, d).filter("i is not null and source is not null").select("idx", "source", "i", h.alias("h"))
+    x = x.withColumn("a", F.row_number().over(Window.partitionBy("source", "i").orderBy("h", "idx")))
+    z = x.agg(F.floor(F.count("*") * 0.4 + 0.5).alias("target"), F.count_distinct("source", "i").alias("pairs"), F.count_distinct("i").alias("n")).first()
+    rest = max(int(z.target) - z.pairs, 0)
+    pool = x.filter("a > 1").withColumn("b", F.row_number().over(Window.partitionBy("i").orderBy("h", "idx"))).filter(F.col("b") <= max(50, rest // max(z.n, 1)))
+    fill = pool.orderBy("h", "idx").limit(rest)  # as many rows as the sample wants
+    chosen = x.filter("a = 1").unionByName(fill.drop("b"))
+    return chosen.select("idx", "source", "i", (F.col("a") == 1).alias("first"))
+
+
+@query(_L + f""", c as (select idx, concept, {_HASH} as h, count(*) over () as n from l where concept is not null), k as (select count(distinct concept) as k from c)
+select idx, concept, 'natural' as scheme from c where h < 0.1 * 2147483647 union all select idx, concept, 'capped' from c qualify row_number() over (partition by concept order by h, idx) <= 350
+union all select idx, concept, 'equal' from c, k qualify row_number() over (partition by concept order by h, idx) <= (n * 0.1)::bigint // k""")
 def e10_stratified_schemes(spark, d):
+    """A tenth as it comes (by hash), at most 350 of a concept, and an equal share of a tenth for each concept."""
+    h = sr.hash_order(F.col("idx"), 0)
     x = labels(spark, d).filter("concept is not null").select("idx", "concept")
-    return sr.capped(x, "concept", F.lit(35)).withColumn("scheme", F.lit("capped")).unionByName(sr.capped(x, "concept", F.lit(5)).withColumn("scheme", F.lit("equal")))
+    z = x.agg(F.floor(F.count("*") * 0.1 + 0.5).alias("n"), F.count_distinct("concept").alias("k")).first()
+    each = int(z.n) // max(z.k, 1)
+    return x.filter(h < 0.1 * 2147483647).withColumn("scheme", F.lit("natural")).unionByName(sr.capped(x, "concept", F.lit(350)).withColumn("scheme", F.lit("capped"))).unionByName(sr.capped(x, "concept", F.lit(each)).withColumn("scheme", F.lit("equal")))
 
 
 @query(S + """, m as (select key, vintage, avg(x) as mean, stddev_pop(x) as sd, count(*) as n from s group by all having stddev_pop(x) > 1e-9)
@@ -570,12 +587,18 @@ def w09_gradient(spark, d):
     return ser(spark, d).select(*BY, "pos", rnd(sr.gradient(), 10).alias("g"))
 
 
-@query(S + f""", g as (select key, vintage, pos, stddev_pop(x) over (partition by key, vintage order by pos rows between current row and 7 following) as sd, count(*) over (partition by key, vintage order by pos rows between current row and 7 following) as n from s)
-select key, vintage, round(min(sd), 10) + 0.0 as flattest from g where n = 8 group by all""")
+@query(S + f""", r as (select key, vintage, quantile_cont(x, 0.05) as lo, quantile_cont(x, 0.95) as hi from s group by all),
+g as (select key, vintage, pos, stddev_pop(x) over v as sd, avg(x) over v as level, count(*) over v as n, least(x, last_value(x) over v) as a, greatest(x, last_value(x) over v) as b from s window v as (partition by key, vintage order by pos rows between current row and 7 following))
+select key, vintage, round(min(sd), 8) + 0.0 as flattest, round(min_by(level, (round(sd, 8), pos)), 6) + 0.0 as level from g join r using (key, vintage) where n = 8 and a >= lo and b <= hi group by all""")
 def w10_flattest_window(spark, d):
+    """The flattest run of eight values whose ends lie within the series' 5th and 95th percentile, and its level."""
     w = sr.over().rowsBetween(0, 7)
-    g = ser(spark, d).select(*BY, F.stddev_pop("x").over(w).alias("sd"), F.count("*").over(w).alias("n"))
-    return g.filter("n = 8").groupBy(*BY).agg(rnd(F.min("sd"), 10).alias("flattest"))
+    s = ser(spark, d)
+    r = s.groupBy(*BY).agg(F.percentile("x", F.lit(0.05)).alias("lo"), F.percentile("x", F.lit(0.95)).alias("hi"))
+    last = F.last("x").over(w)
+    g = s.select(*BY, "pos", F.stddev_pop("x").over(w).alias("sd"), F.avg("x").over(w).alias("level"), F.count("*").over(w).alias("n"), F.least("x", last).alias("a"), F.greatest("x", last).alias("b"))
+    g = g.filter("n = 8").join(r, BY).filter("a >= lo and b <= hi")
+    return g.groupBy(*BY).agg(rnd(F.min("sd"), 8).alias("flattest"), rnd(F.min_by("level", F.struct(F.round("sd", 8), "pos"))).alias("level"))
 
 
 @query(S + f""", a as (select *, x > coalesce(lag(x) over w, x) as up from s {W}), b as (select *, sum(case when up is distinct from lag(up) over w then 1 else 0 end) over w as run0 from (select *, lag(up) over (partition by key, vintage order by pos) as pu from a) {W})
