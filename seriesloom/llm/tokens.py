@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def encoder(path: str):
     if ("bpe", path) not in cache:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         cache["bpe", path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return cache["bpe", path]
@@ -37,7 +38,10 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep, and n_tokens of each document; a narrow step that ships no text on."""
+    """doc_id, the columns to keep, and n_tokens of each document; a narrow step that ships no text on. The vocabulary is
+    sent along with the job, for workers that don't have it at its path."""
+    if os.path.exists(vocabulary):
+        documents.sparkSession.sparkContext.addFile(vocabulary)
     docs = documents.select("doc_id", *keep, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
