@@ -20,7 +20,7 @@ from seriesloom.llm.tokens import VOCABULARY, sized
 from seriesloom.runtime import cut, is_small
 
 #: Classes of rank; documents of each power of two of size that a round of filling looks at.
-RANKS, LOWEST = 16_384, 200
+RANKS, LOWEST = 16_384, 1000
 TARGET = ["mix_id", "source"]
 
 
@@ -74,7 +74,7 @@ def inclusion_scale(docs: DataFrame, plan: DataFrame, few: Callable[[DataFrame],
 def ranked(docs: DataFrame, plan: DataFrame, few: Callable[[DataFrame], DataFrame], seed: int) -> DataFrame:
     """Documents of each target with rest to fill: mix_id, source, doc_id, n_tokens, rest, rank, class. Every source's
     documents come once for each target that names it."""
-    p = few(plan.join(inclusion_scale(docs, plan, few), TARGET).select(*TARGET, "src", "rest", "scale"))
+    p = few(cut(plan.join(inclusion_scale(docs, plan, few), TARGET).select(*TARGET, "src", "rest", "scale")))
     x = docs.filter("n_tokens > 0").join(p, "src")
     u = (F.pmod(F.xxhash64(F.lit(seed), *TARGET, "doc_id"), F.lit(2**52)) + 0.5) / float(2**52)
     prob, odds = F.least(F.lit(1.0), F.col("scale") * F.col("n_tokens")), u / (1 - u)
