@@ -266,19 +266,19 @@ def column_names(fields: list[tuple[str, int]]) -> list[str]:
 def unified(entries: DataFrame) -> DataFrame:
     """One consistent wide table: entry_id, artifact, lab, file_no, run and a typed column for each canonical field and
     generation, cast by the alias table (bigint, double, boolean, else text; lists and objects as JSON). No value is
-    lost: a column with kinds or numbers that its type can't hold is text. An entry without fields keeps its row with
-    nulls. The list of columns is read on the driver; it holds names only, and more than MAX_COLUMNS of them are
+    lost: a column with kinds or numbers that its type can't hold is text. An entry without fields, or without
+    producer or file number (it belongs to no history), keeps its row with nulls. The list of columns is read on the driver; it holds names only, and more than MAX_COLUMNS of them are
     refused (use ``long_table``)."""
-    rows = cut(named(entries))
-    v = rows.select(F.explode("values").alias("v")).select("v.*")
+    held = F.map_from_entries(F.transform("values", lambda x: F.struct(F.struct(x["canonical"].alias("canonical"), x["generation"].alias("generation")), F.struct(x["kind"].alias("kind"), x["json"].alias("json")))))
+    rows = cut(named(entries).withColumn("held", held).drop("values"))  # the map is made once, not for each column
+    v = rows.select(F.explode("held").alias("key", "value")).select("key.*", "value.*")
     fits = F.max(((F.col("kind") == 1) & F.col("json").try_cast("bigint").isNull()).cast("int"))
     kinds = v.groupBy("canonical", "generation").agg(F.bit_or(F.col("kind").cast("int")).alias("mask"), fits.alias("wide")).select("canonical", "generation", type_of(F.col("mask")).alias("type"), "wide").orderBy("canonical", "generation").limit(MAX_COLUMNS + 1).collect()
     if len(kinds) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} canonical fields")
-    held = F.map_from_entries(F.transform("values", lambda x: F.struct(F.struct(x["canonical"], x["generation"]), x["json"])))
-    rows, columns = rows.withColumn("held", held), []
+    columns = []
     for r, name in zip(kinds, column_names([(r.canonical, r.generation) for r in kinds])):
-        raw = F.try_element_at("held", F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.generation).alias("generation")))
+        raw = F.try_element_at("held", F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.generation).alias("generation")))["json"]
         kind = "string" if r.wide or r.type not in CASTS else r.type
         text = F.coalesce(F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"], raw) if kind == "string" else raw
         columns.append(text.try_cast(CASTS[kind]).alias(name))
