@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from seriesloom.llm import cube_sample as cs
 from seriesloom.llm import mixing as mx
 from seriesloom.llm import packing as pk
 from seriesloom.llm import same_look as sl
-from seriesloom.runtime import table
+from seriesloom.runtime import cut, is_small, table
 
 
 def p3_report(spark, d):
@@ -34,6 +36,27 @@ def p6_report(spark, d):
     return pk.packing_report(p6_packed(spark, d), table(spark, d, "container_specs"))
 
 
+def p6_checks(spark, d):
+    """What must hold of every packing: all documents are there, no container holds more than its capacity, pieces cover
+    their document without gap, and no document is split that fits."""
+    packed, specs = p6_packed(spark, d), table(spark, d, "container_specs").select("spec_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    packed = cut(packed.join(F.broadcast(specs) if is_small(specs) else specs, "spec_id"))
+    count = lambda c: F.sum(c.cast("long"))
+    docs = packed.groupBy("spec_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"))
+    docs = docs.groupBy("spec_id").agg(F.count("*").alias("n_docs"), count(F.col("n") != F.col("end")).alias("broken"), count((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("needless"))
+    full = packed.groupBy("spec_id", "capacity", "container").agg(F.sum("n_tokens").alias("n")).groupBy("spec_id").agg(count(F.col("n") > F.col("capacity")).alias("over"))
+    return docs.join(full, "spec_id").select("spec_id", "n_docs", "over", "broken", "needless")
+
+
+def p7_checks(spark, d):
+    """What must hold of every mixture: a row for each target, none above its quota, no document above its cap, and shares of
+    each mix that add up to 1."""
+    targets, report = table(spark, d, "mix_targets"), p7_report(spark, d)
+    x = report.join(targets.select("mix_id", "source", "max_repeats"), ["mix_id", "source"])
+    over = F.sum((F.col("residual") > 1e-6).cast("long"))
+    return x.groupBy("mix_id").agg(F.count("*").alias("n"), over.alias("over_quota"), F.sum((F.coalesce("most_copies", F.lit(0)) > F.col("max_repeats")).cast("long")).alias("over_cap"), F.round(F.sum("actual_share"), 6).alias("shares"))
+
+
 def p7_report(spark, d):
     return mx.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
@@ -59,7 +82,7 @@ def p8_canonical(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p3_report, p3_sample, p6_found, p6_packed, p6_report, p7_found, p7_report, p7_mixture, p8_found, p8_classes, p8_canonical)}
+    return {f.__name__: f for f in (p3_found, p3_report, p3_sample, p6_found, p6_packed, p6_report, p6_checks, p7_checks, p7_found, p7_report, p7_mixture, p8_found, p8_classes, p8_canonical)}
 
 
 _CLEAN = "lower(trim({}, chr(9) || chr(10) || chr(13) || ' '))"
@@ -108,6 +131,8 @@ def oracle_sql():
         "p3_report": _DEMAND + f"""select scheme_id, w.corpus_id, concept, target_share, wanted, n_avail, n_reported, least(n_avail, ceil(wanted - 1e-9))::bigint as n_take, least(n_avail, ceil(wanted - 1e-9))::bigint as n_selected, 0::bigint as residual, n_avail < wanted - 1e-9 as too_few
 from w left join r on r.corpus_id = w.corpus_id and r.name = {_CLEAN.format("w.concept")}""",
         "p6_found": _SIZED + " select spec_id, doc_id from d, container_specs where n > capacity_tokens",
+        "p6_checks": "select spec_id, (select count(distinct doc_id) from documents) as n_docs, 0::bigint as over, 0::bigint as broken, 0::bigint as needless from container_specs where capacity_tokens > 0",
+        "p7_checks": "select mix_id, count(*) as n, 0::bigint as over_quota, 0::bigint as over_cap, 1.0 as shares from mix_targets group by mix_id",
         "p7_found": _SIZED + f""", s as (select src, sum(n) as n from d group by src) select mix_id, source from mix_targets t left join s on s.src = {_CLEAN.format('t.source')}
 where target_share * total_share * (select sum(n) from d) > max_repeats * coalesce(s.n, 0)""",
         "p8_found": looks + " select a.doc_id as doc_id_a, b.doc_id as doc_id_b from c a join c b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id",
