@@ -519,14 +519,15 @@ def e11_distinct_cover(spark, d):
     return pts(spark, d).groupBy("label").applyInPandas(run, "id long, label long")
 
 
-@query()
+@query("""with c as (select vec_id as id, embedding::double[] as v from embeddings), k as (select a.id as i, list_distance(a.v, b.v) as d, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as k from c a join c b on a.id <> b.id qualify k <= 10),
+r as (select i, max(d) as r from k group by i) select i, round(r, 6) as r from r where (((i % 2147483647) * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648 < greatest(0.05, least(1.0, r / (select median(r) from r)))""")
 def e08_density_thinning(spark, d):
     """Points kept with probability by their tenth neighbour's distance over the median, clipped to [0.05, 1]."""
     p = pts(spark, d)
     r = cl.nearest(p, p, 10).groupBy("i").agg(F.max("d").alias("r"))
     med = F.broadcast(r.agg(F.percentile("r", F.lit(0.5)).alias("m")))
-    u = (F.pmod(F.xxhash64(F.lit(1), "i"), F.lit(2**52)) + 0.5) / float(2**52)
-    return r.join(med).filter(u < F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("r") / F.col("m")))).select("i", "r")
+    u = ((F.col("i") % 2147483647 * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648
+    return r.join(med).filter(u < F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("r") / F.col("m")))).select("i", F.round("r", 6).alias("r"))
 
 
 def made(spark, n, variants, seeds, f, schema):
