@@ -30,3 +30,11 @@ def test_pairs_take_the_places_of_settled_ones(monkeypatch):
     monkeypatch.setattr(tr, "SIDE", 2)
     few = tr.gw_plans(c, ref, 0.05)
     assert whole[2].all() and few[2].all() and np.allclose(whole[0], few[0], atol=1e-9) and np.allclose(whole[1], few[1], atol=1e-12)
+
+
+def test_exact_plans_are_those_of_each_pair():
+    c, ref = clouds(10), clouds(1, seed=3)[0]
+    t, loss, done = tr.exact_plans(c, ref)
+    for x, y, z, d in zip(c, t, loss, done):
+        one, value, settled = tr.exact_plan(x, ref)
+        assert settled and d and np.allclose(one, y) and np.isclose(value, z) and np.isclose(tr.objective(x, ref, y), z) and np.allclose(y.sum(0), 1 / 40)
