@@ -38,3 +38,22 @@ def test_exact_plans_are_those_of_each_pair():
     for x, y, z, d in zip(c, t, loss, done):
         one, value, settled = tr.exact_plan(x, ref)
         assert settled and d and np.allclose(one, y) and np.isclose(value, z) and np.isclose(tr.objective(x, ref, y), z) and np.allclose(y.sum(0), 1 / 40)
+
+
+def test_a_stack_of_exact_plans_costs_less_than_its_pairs():
+    c, ref = clouds(60), clouds(1, seed=3)[0]
+    start = time.process_time()
+    for x in c[:6]:
+        tr.exact_plan(x, ref, 30)
+    one = (time.process_time() - start) / 6
+    start = time.process_time()
+    tr.exact_plans(c, ref, 30)
+    assert (time.process_time() - start) / 60 < one / 2
+
+
+def test_assignments_from_any_potentials():
+    rng = np.random.default_rng(4)
+    c = np.concatenate([rng.normal(size=(6, 9, 9)), np.round(rng.normal(size=(6, 9, 9)))])  # with ties
+    plain, warm = tr.assignments(c)[0], tr.assignments(c, rng.normal(size=(12, 9)))[0]
+    total = lambda j: np.take_along_axis(c, j[:, :, None], 2).sum((1, 2))
+    assert np.allclose(total(plain), total(warm)) and (np.sort(warm, 1) == np.arange(9)).all()
