@@ -14,19 +14,24 @@ def ridge(x, y, lam):
 
 
 def choose_penalty(x, y, folds=5, embargo=0):
-    """Penalty by expanding folds: (value, whether it is a fallback)."""
-    n = len(y)
+    """Penalty by expanding folds: (value, whether it is a fallback). The fits of all folds and penalties are one stack."""
+    n, d = x.shape
     grid = GRID * max(x.var(0).mean(), 1e-12)
     if n < folds + 5:
         return float(np.median(GRID)), True
     cuts = np.linspace(n // 2, n, folds + 1).astype(int)
+    parts = [(a, b) for a, b in zip(cuts, cuts[1:]) if a + embargo < b]
+    if not parts:
+        return float(grid[0]), False
+    means = [(x[:a].mean(0), y[:a].mean()) for a, _ in parts]
+    gram, right = np.empty((len(parts), d, d)), np.empty((len(parts), d))
+    for k, ((a, _), (mx, my)) in enumerate(zip(parts, means)):
+        z = x[:a] - mx
+        gram[k], right[k] = z.T @ z, z.T @ (y[:a] - my)
+    beta = np.linalg.solve(gram[:, None] + (grid[:, None, None] * np.eye(d)), np.broadcast_to(right[:, None, :, None], (len(parts), len(grid), d, 1)))[..., 0]
     loss = np.zeros(len(grid))
-    for a, b in zip(cuts, cuts[1:]):
-        if a + embargo >= b:
-            continue
-        for k, lam in enumerate(grid):
-            beta, c = ridge(x[:a], y[:a], lam)
-            loss[k] += np.square(y[a + embargo : b] - x[a + embargo : b] @ beta - c).sum()
+    for (a, b), (mx, my), w in zip(parts, means, beta):
+        loss += np.square((y[a + embargo : b] - my)[:, None] - (x[a + embargo : b] - mx) @ w.T).sum(0)
     return float(grid[loss.argmin()]), False
 
 
@@ -46,7 +51,9 @@ def walk(n, horizon=1, init=None, step=12, embargo=None):
 def autoregression_fit(y, p):
     """Coefficients (constant first) and residual sum of squares of AR(p)."""
     n = len(y)
-    a = np.column_stack([np.ones(n - p), *(y[p - k - 1 : n - k - 1] for k in range(p))])
+    a = np.ones((n - p, p + 1))
+    for k in range(p):
+        a[:, k + 1] = y[p - k - 1 : n - k - 1]
     beta = np.linalg.lstsq(a, y[p:], rcond=None)[0]
     return beta, np.square(y[p:] - a @ beta).sum()
 
@@ -92,13 +99,13 @@ def ladder(y, horizon=1, lags=4, seed=0):
         models["pca_ridge"] = (scores, *ridge(scores[rows], y[rows + horizon], choose_penalty(scores[rows], y[rows + horizon])[0]))
         # the order is chosen once a fold, on its training values; the fit is renewed at every origin
         order = autoregression_order(y[:end])
+        points = {name: feats[a - horizon : b - horizon] @ beta + c for name, (feats, beta, c) in models.items()}
         for t in range(a, b):
-            base = float(y[: t - horizon + 1].mean())
-            at = t - horizon
-            for name, (feats, beta, c) in models.items():
-                out.append((name, f, t, float(y[t]), float(feats[at] @ beta + c), base))
-            out.append(("random_walk", f, t, float(y[t]), float(y[max(t - horizon, 0)]), base))
+            base, now = float(y[: t - horizon + 1].mean()), float(y[t])
+            for name, guess in points.items():
+                out.append((name, f, t, now, float(guess[t - a]), base))
+            out.append(("random_walk", f, t, now, float(y[max(t - horizon, 0)]), base))
             o = t - horizon + 1
-            out.append(("rolling_mean", f, t, float(y[t]), float(y[max(o - 12, 0) : o].mean()), base))
-            out.append(("autoregression", f, t, float(y[t]), autoregression(y[:o], horizon, order), base))
+            out.append(("rolling_mean", f, t, now, float(y[max(o - 12, 0) : o].mean()), base))
+            out.append(("autoregression", f, t, now, autoregression(y[:o], horizon, order), base))
     return out

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from seriesloom.functions import forecasting as fo
 from seriesloom.functions import statistics as st
 
 
@@ -23,3 +24,21 @@ def test_dependence_equals_the_plain_formula():
         assert np.isclose(got, stat, rtol=1e-10) and np.isclose(p, (1 + (null >= stat * (1 - 1e-9)).sum()) / 61)
         f = st.kernel_factor(x, 1.0)
         assert f.shape[1] < 45 and np.allclose(f @ f.T, np.exp(-np.square(x[:, None] - x)), atol=1e-13)
+
+
+def test_penalties_of_all_folds_are_one_stack(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) * [1, 10, 0.1]
+    y = x @ [1.0, 0.02, -3] + rng.normal(size=90)
+    for embargo in (0, 2):
+        grid, loss = fo.GRID * x.var(0).mean(), np.zeros(len(fo.GRID))
+        cuts = np.linspace(45, 90, 6).astype(int)
+        for a, b in zip(cuts, cuts[1:]):
+            for k, lam in enumerate(grid):
+                beta, c = fo.ridge(x[:a], y[:a], lam)
+                loss[k] += np.square(y[a + embargo : b] - x[a + embargo : b] @ beta - c).sum()
+        with monkeypatch.context() as m:
+            solves, solve = [], np.linalg.solve
+            m.setattr(np.linalg, "solve", lambda *a: solves.append(1) or solve(*a))
+            assert fo.choose_penalty(x, y, embargo=embargo) == (grid[loss.argmin()], False) and len(solves) == 1
+    assert fo.choose_penalty(x, y, embargo=9) == (grid[0], False) and fo.choose_penalty(x[:8], y[:8])[1]
