@@ -35,3 +35,10 @@ def test_all_series_are_coupled(spark, monkeypatch, landmarks):
                 want[a, b] += lam * max(abs(pd.Series(axes[mine, j]).rank().corr(pd.Series(u[mine, k]).rank())) for k in range(3))
     root = np.sqrt(np.diag(want))
     assert np.allclose(c, want / np.outer(root, root), atol=2e-3)
+
+
+def test_the_network_uses_the_coupling_of_all(spark, monkeypatch):
+    c = np.array([[1.0, 0.5, np.nan], [0.2, 1.0, np.nan], [np.nan, np.nan, np.nan]])
+    monkeypatch.setattr(tq, "coupling_matrix", lambda *_: (c.copy(), ["a", "b", "c"]))
+    got = tq.s10_coupling_network(spark, "").toPandas().set_index("unit")
+    assert got.sent.tolist() == [0.5, 0.2, 0.0] and got.received.tolist() == [0.2, 0.5, 0.0] and np.allclose(got.net, [0.3, -0.3, 0])
