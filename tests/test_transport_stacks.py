@@ -57,3 +57,23 @@ def test_assignments_from_any_potentials():
     plain, warm = tr.assignments(c)[0], tr.assignments(c, rng.normal(size=(12, 9)))[0]
     total = lambda j: np.take_along_axis(c, j[:, :, None], 2).sum((1, 2))
     assert np.allclose(total(plain), total(warm)) and (np.sort(warm, 1) == np.arange(9)).all()
+
+
+def test_marginals_that_settle_slowly_are_right():
+    x, zero = -20 * clouds(6), np.zeros((6, 40))
+    x[:3, :20, 20:] -= 8  # halves that hardly meet
+    p = np.full(40, 1 / 40)
+    slow = tr.scalings(x.copy(), p, p, zero, zero, 5000, 1e-9)[0]
+    t, f, g, done = tr.balanced(x.copy(), p, p, zero, zero)
+    assert done.all() and np.abs(t.sum(2) - p).max() < 2e-9 and np.abs(t.sum(1) - p).max() < 1e-12
+    assert np.allclose(t, np.exp(x + f[:, :, None] + g[:, None]), atol=1e-12)
+    right = np.abs(slow.sum(2) - p).max(1) < 2e-9
+    assert 3 <= right.sum() < 6 and np.allclose(t[right], slow[right], atol=1e-7)
+
+
+def test_every_plan_has_its_marginals():
+    i, rng = np.arange(40), np.random.default_rng(7)
+    ring, halves = np.c_[np.cos(0.7 * i), np.sin(0.7 * i)] * (1 + i[:, None] / 40), np.where(i[:, None] < 20, 0, 5)
+    c = np.array([tr.unit_max(gm.distances(v + 0.05 * rng.normal(size=(40, 2)))) for v in [ring, halves] * 15])
+    t = tr.gw_plans(c, tr.random_start(40, np.random.default_rng(6)), 0.004, 60, inner=10)[0]
+    assert np.abs(t.sum(2) - 1 / 40).max() < 2e-8 and np.abs(t.sum(1) - 1 / 40).max() < 1e-12
