@@ -77,3 +77,19 @@ def test_every_plan_has_its_marginals():
     c = np.array([tr.unit_max(gm.distances(v + 0.05 * rng.normal(size=(40, 2)))) for v in [ring, halves] * 15])
     t = tr.gw_plans(c, tr.random_start(40, np.random.default_rng(6)), 0.004, 60, inner=10)[0]
     assert np.abs(t.sum(2) - 1 / 40).max() < 2e-8 and np.abs(t.sum(1) - 1 / 40).max() < 1e-12
+
+
+def test_fallbacks_of_a_stack_are_those_of_each_pair():
+    c, ref = clouds(24), clouds(1, seed=3)[0]
+    c[5] = 0.0
+    start = time.process_time()
+    t, status = tr.robust_plans(c, ref, 0.02)
+    stack = time.process_time() - start
+    assert status == ["ok"] * 5 + ["uniform"] + ["ok"] * 18 and np.allclose(t.sum((1, 2)), 1)
+    start = time.process_time()
+    for i in range(4, 8):
+        one, own = tr.robust_plan(c[i], ref, 0.02)
+        assert own == status[i] and np.allclose(one, t[i], atol=1e-9)
+    assert stack / 24 < (time.process_time() - start) / 4
+    kept, how = tr.plans_or_exact(c[:4], ref, 0.02)
+    assert how == ["entropic"] * 4 and np.allclose(kept[2], tr.plan_or_exact(c[2], ref, 0.02)[0], atol=1e-9)
