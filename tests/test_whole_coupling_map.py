@@ -43,3 +43,16 @@ def test_the_network_has_a_map_of_all_series(spark, monkeypatch):
     assert np.allclose(pairs.coupling.to_numpy().reshape(3, 3), want, atol=1e-5)
     assert np.allclose(got.loc[units, ["sent", "received", "net"]], whole.loc[units, ["sent", "received", "net"]], atol=1e-5)
     assert isinstance(pairs, pd.DataFrame) and not np.allclose(tq.coupling_matrix(spark, "")[0], want, atol=1e-2)  # landmarks alone differ
+
+
+def test_axes_of_a_block_take_one_pass(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(90, 7)) * np.arange(1, 8)
+    rows = spark.createDataFrame([("ab"[i % 2], [float(v) for v in r]) for i, r in enumerate(x)], "unit string, v array<double>")
+    passes, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: passes.append(1) or collect(df))
+    got = tq.block_axes(rows)
+    assert len(passes) == 1
+    for k, u in enumerate("ab"):
+        own = x[k::2]
+        want = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][:3].T
+        assert np.allclose(got[u][0], own.mean(0)) and np.allclose(np.abs((got[u][1] * want).sum(0)), 1)
