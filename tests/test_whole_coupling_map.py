@@ -56,3 +56,13 @@ def test_axes_of_a_block_take_one_pass(spark, monkeypatch):
         own = x[k::2]
         want = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][:3].T
         assert np.allclose(got[u][0], own.mean(0)) and np.allclose(np.abs((got[u][1] * want).sum(0)), 1)
+
+
+def test_the_driver_has_no_rows_of_plans(spark, monkeypatch):
+    t = np.random.default_rng(8).random((60, 2, 16))
+    rows = [(f"s{i:02}", 1, "ab"[i % 2], "ab"[k], [float(x) for x in t[i, k] / t[i, k].sum()], 0.0, True, 0.5) for i in range(60) for k in range(2)]
+    m = tq.cut(spark.createDataFrame(rows, "key string, vintage int, own string, unit string, t array<double>, entropy double, gated boolean, coupling double"))
+    monkeypatch.setattr(tq, "multi", lambda *_: m)
+    monkeypatch.setattr(tq, "LANDMARKS", 40)
+    monkeypatch.setattr(tq, "landmark_rows", lambda *_: 1 / 0)
+    assert np.allclose(np.diag(tq.coupling_matrix(spark, "", True)[0]), 1)
