@@ -30,3 +30,11 @@ def test_groups_of_units_change_nothing(spark, monkeypatch):
 
 def test_no_series_no_barycenters(spark):
     assert tq.barycenters(spark.createDataFrame([], "key string, vintage int, unit string, ok boolean, c array<double>")).count() == 0
+
+
+def test_clouds_stay_beside_their_costs(spark, sf_dir):
+    rows = tq.clouds_of(spark, sf_dir).filter("ok").limit(5).collect()
+    assert len(rows) == 5 and tq.costs_of(spark, sf_dir).columns == ["key", "vintage", "c", "ok", "error", "unit"]
+    for r in rows:
+        v = np.array(r.cloud).reshape(-1, r.dim)
+        assert np.array_equal(tq.supports(v).ravel(), r.c)
