@@ -38,3 +38,14 @@ def test_clouds_stay_beside_their_costs(spark, sf_dir):
     for r in rows:
         v = np.array(r.cloud).reshape(-1, r.dim)
         assert np.array_equal(tq.supports(v).ravel(), r.c)
+
+
+def test_pairs_that_leave_don_t_move_the_others(monkeypatch):
+    rng = np.random.default_rng(9)
+    c = np.array([tr.unit_max(gm.distances(np.cumsum(rng.normal(size=(40, 3)), 0))) for _ in range(24)])
+    plain = [tr.gw_plans(x[None], c[0], 0.05, 200)[0][0] for x in c]
+    kept, scalings = [], tr.scalings
+    monkeypatch.setattr(tr, "SIDE", 8)
+    monkeypatch.setattr(tr, "scalings", lambda x, *a: kept.append(x) or scalings(x, *a))
+    t = tr.gw_plans(c, c[0], 0.05, 200)[0]
+    assert np.allclose(t, plain, atol=1e-9) and len({id(x) for x in kept}) <= 12  # two for the whole stack, and for its last pairs
